@@ -48,6 +48,10 @@ ITEM_VECTORS = _struct(
     cd_insumo=_L, vector=VECTOR, model_name=_S, embedding_dim=_I, created_at=_TS,
 )
 
+ITEM_CACHE = _struct(
+    grp_insumo=_S, cd_insumo=_L, insumo_descricao=_S, marca=_S, medida=_S, vector=VECTOR,
+)
+
 UNIT_MAP = _struct(cd_medida=_S, medida=_S)
 
 FEEDBACK = _struct(
