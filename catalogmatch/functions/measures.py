@@ -33,6 +33,20 @@ UNIT_LETTERS = "a-zA-Zçãáéíóú"
 QUANTITY_UNIT = rf"(\d+[.,]?\d*){SPACE}*({'|'.join(name for name, _, _ in UNITS)})"
 PARSED = rf"^(\d+(?:[.,]\d+)?){SPACE}*((?:[{UNIT_LETTERS}]|{SPACE})*)$"
 
+_FACTORS = "map(" + ", ".join(f"'{u}', struct({f}D AS factor, '{t}' AS target)" for u, f, t in UNITS if f) + ")"
+
+# ``t`` is Spark's text of a double with an exponent: split into sign, digits and power of ten
+_PARTS = """t -> named_struct(
+    'sign', if(t LIKE '-%', '-', ''),
+    'digits', regexp_replace(translate(split_part(t, 'E', 1), '-.', ''), '(?<=.)0+$', ''),
+    'power', cast(split_part(t, 'E', 2) AS int))"""
+_RENDER = """p -> p.sign || CASE
+    WHEN p.power BETWEEN 0 AND 15 THEN rpad(left(p.digits, p.power + 1), p.power + 1, '0') || '.'
+        || if(length(p.digits) > p.power + 1, substr(p.digits, p.power + 2), '0')
+    WHEN p.power BETWEEN -4 AND -1 THEN '0.' || repeat('0', -p.power - 1) || p.digits
+    ELSE left(p.digits, 1) || if(length(p.digits) > 1, '.' || substr(p.digits, 2), '')
+        || if(p.power < 0, 'e-', 'e+') || lpad(abs(p.power), greatest(2, length(abs(p.power))), '0') END"""
+
 
 def decimal_text(value: Column) -> Column:
     """Text of a double as catalogs store it: ``10000000.0``, never ``1.0E7``.
@@ -40,31 +54,8 @@ def decimal_text(value: Column) -> Column:
     Positional between 1e-4 and 1e16, otherwise ``1e-05`` / ``1e+16``.  The digits are those of
     Spark's own string cast, only re-arranged.
     """
-    def render(text: Column) -> Column:
-        mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), "[-.]", "")
-        digits = F.regexp_replace(mantissa, "(?<=.)0+$", "")
-        power = F.split_part(text, F.lit("E"), F.lit(2)).cast("int")
-        sign = F.when(text.startswith("-"), "-").otherwise("")
-        whole = F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, "0")
-        rest = F.substr(digits, power + 2, F.length(digits))
-        large = F.concat(whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-        tail = F.substr(digits, F.lit(2), F.length(digits))
-        scientific = F.concat(
-            F.substr(digits, F.lit(1), F.lit(1)),
-            F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)),
-            F.when(power < 0, "e-").otherwise("e+"),
-            F.when(F.abs(power) < 10, F.lpad(F.abs(power).cast("string"), 2, "0"))
-            .otherwise(F.abs(power).cast("string")),
-        )
-        shaped = (
-            F.when((power >= 0) & (power < 16), large)
-            .when((power < 0) & (power >= -4), small)
-            .otherwise(scientific)
-        )
-        return F.when(text.contains("E"), F.concat(sign, shaped)).otherwise(text)
-
-    return let(value.cast("string"), render)
+    text = value.cast("string")
+    return F.when(text.contains("E"), let(let(text, _PARTS), _RENDER)).otherwise(text)
 
 
 def convert_measure(text: Column) -> Column:
@@ -73,20 +64,12 @@ def convert_measure(text: Column) -> Column:
     The quantity and unit may stand anywhere in the text; what surrounds them is dropped.  Text
     without a convertible unit comes back upper-cased and trimmed.  Null stays null.
     """
-    def convert(measure: Column) -> Column:
-        quantity = F.regexp_extract(measure, QUANTITY_UNIT, 1)
-        unit = F.regexp_extract(measure, QUANTITY_UNIT, 2)
-        number = F.replace(quantity, F.lit(","), F.lit(".")).try_cast("double")
-        factor = F.lit(None).cast("double")
-        target = F.lit(None).cast("string")
-        for name, scale, into in UNITS:
-            if scale is not None:
-                factor = F.when(unit == name, F.lit(scale)).otherwise(factor)
-                target = F.when(unit == name, F.lit(into)).otherwise(target)
-        converted = F.concat(decimal_text(number * factor), target)
-        return F.coalesce(F.when(unit != "", converted), measure)
-
-    return let(strip(F.upper(text)), convert)
+    measure = strip(F.upper(text))
+    quantity = F.regexp_extract(measure, QUANTITY_UNIT, 1)
+    unit = F.try_element_at(F.expr(_FACTORS), F.regexp_extract(measure, QUANTITY_UNIT, 2))
+    number = F.replace(quantity, F.lit(","), F.lit(".")).try_cast("double")
+    converted = F.concat(decimal_text(number * unit.getField("factor")), unit.getField("target"))
+    return F.coalesce(converted, measure)
 
 
 def parse_measure(text: Column) -> Column:
@@ -95,12 +78,10 @@ def parse_measure(text: Column) -> Column:
     ``1000grama`` gives (1000.0, grama), ``pacote`` gives (null, pacote), null or blank gives
     (null, '').
     """
-    def parse(measure: Column) -> Column:
-        number = F.regexp_extract(measure, PARSED, 1)
-        matched = number != ""
-        return F.struct(
-            F.when(matched, F.replace(number, F.lit(","), F.lit(".")).try_cast("double")).alias("value"),
-            F.when(matched, strip(F.regexp_extract(measure, PARSED, 2))).otherwise(measure).alias("unit"),
-        )
-
-    return let(F.lower(strip(F.coalesce(text, F.lit("")))), parse)
+    measure = F.lower(strip(F.coalesce(text, F.lit(""))))
+    number = F.regexp_extract(measure, PARSED, 1)
+    matched = number != ""
+    return F.struct(
+        F.when(matched, F.replace(number, F.lit(","), F.lit(".")).try_cast("double")).alias("value"),
+        F.when(matched, strip(F.regexp_extract(measure, PARSED, 2))).otherwise(measure).alias("unit"),
+    )

@@ -30,17 +30,21 @@ def measure_similarity(query: Column, item: Column) -> Column:
     first.  Two numbers with equal or missing units: one minus the relative error, whose divisor
     is at least 1.  Two numbers with different units: 0.  Otherwise the token similarity.
     """
-    def numeric(s: Column) -> Column:
-        same_unit = (s.q.unit == s.d.unit) | (s.q.unit == "") | (s.d.unit == "")
-        larger = F.greatest(F.abs(s.q.value), F.abs(s.d.value), F.lit(1.0))
-        closeness = F.greatest(F.lit(0.0), 1.0 - F.abs(s.q.value - s.d.value) / larger)
-        both = s.q.value.isNotNull() & s.d.value.isNotNull()
-        return F.when(both, F.when(same_unit, closeness).otherwise(0.0)).otherwise(
-            token_set_ratio(query, item)
-        )
-
-    parsed = F.struct(parse_measure(query).alias("q"), parse_measure(item).alias("d"))
-    return F.when(is_blank(query), 1.0).when(is_blank(item), 0.0).otherwise(let(parsed, numeric))
+    q, d = parse_measure(query), parse_measure(item)
+    q_value, d_value = q.getField("value"), d.getField("value")
+    q_unit, d_unit = q.getField("unit"), d.getField("unit")
+    same_unit = (q_unit == d_unit) | (q_unit == "") | (d_unit == "")
+    larger = F.greatest(F.abs(q_value), F.abs(d_value), F.lit(1.0))
+    closeness = F.greatest(F.lit(0.0), 1.0 - F.abs(q_value - d_value) / larger)
+    numeric = q_value.isNotNull() & d_value.isNotNull()
+    compared = F.when(~numeric, query)  # null keeps pairs of numbers out of the text comparison
+    return (
+        F.when(is_blank(query), 1.0)
+        .when(is_blank(item), 0.0)
+        .when(numeric & same_unit, closeness)
+        .when(numeric, 0.0)
+        .otherwise(token_set_ratio(compared, item))
+    )
 
 
 def brand_similarity(query: Column, item: Column) -> Column:
@@ -56,20 +60,14 @@ def weights_struct(weights: Mapping[str, float] | Column | None = None) -> Colum
     return F.struct(*[F.lit(float(chosen[name])).alias(name) for name in WEIGHT_FIELDS])
 
 
-def _total(weights: Column) -> Column:
-    first, *rest = [weights.getField(name) for name in WEIGHT_FIELDS]
-    for part in rest:
-        first = first + part
-    return first
+_SUM = "(" + " + ".join(f"w.{name}" for name in WEIGHT_FIELDS) + ")"
+_SHARES = "named_struct(" + ", ".join(f"'{name}', w.{name} / {_SUM}" for name in WEIGHT_FIELDS) + ")"
+_DEFAULTS = "named_struct(" + ", ".join(f"'{name}', {v}D" for name, v in DEFAULT_WEIGHTS.items()) + ")"
 
 
 def normalized_weights(weights: Column) -> Column:
     """Scale to a sum of 1; a sum of zero or less falls back to the defaults."""
-    def scale(w: Column) -> Column:
-        scaled = F.struct(*[(w.getField(n) / _total(w)).alias(n) for n in WEIGHT_FIELDS])
-        return F.when(_total(w) <= 0, weights_struct()).otherwise(scaled)
-
-    return let(weights, scale)
+    return let(weights, f"w -> if({_SUM} <= 0, {_DEFAULTS}, {_SHARES})")
 
 
 def effective_weights(weights: Column, descricao: Column, marca: Column, medida: Column) -> Column:
@@ -77,20 +75,12 @@ def effective_weights(weights: Column, descricao: Column, marca: Column, medida:
 
     The vector weight is never zeroed.  When nothing is left the given weights come back as they are.
     """
-    def scale(s: Column) -> Column:
-        shares = F.struct(*[(s.kept.getField(n) / _total(s.kept)).alias(n) for n in WEIGHT_FIELDS])
-        return F.when(_total(s.kept) <= 0, s.given).otherwise(shares)
-
-    def adjust(given: Column) -> Column:
-        kept = F.struct(
-            given.getField("sbert").alias("sbert"),
-            F.when(is_blank(descricao), 0.0).otherwise(given.getField("desc")).alias("desc"),
-            F.when(is_no_brand(marca), 0.0).otherwise(given.getField("marca")).alias("marca"),
-            F.when(is_blank(medida), 0.0).otherwise(given.getField("medida")).alias("medida"),
-        )
-        return let(F.struct(given.alias("given"), kept.alias("kept")), scale)
-
-    return let(weights, adjust)
+    absent = {"desc": is_blank(descricao), "marca": is_no_brand(marca), "medida": is_blank(medida)}
+    kept = F.struct(*[
+        (F.when(absent[n], 0.0).otherwise(weights.getField(n)) if n in absent else weights.getField(n)).alias(n)
+        for n in WEIGHT_FIELDS
+    ])
+    return F.coalesce(let(kept, f"w -> if({_SUM} <= 0, null, {_SHARES})"), weights)
 
 
 def weighted_score(weights: Column, sbert: Column, desc: Column, marca: Column, medida: Column) -> Column:

@@ -82,7 +82,9 @@ def portuguese_stopwords() -> list[str]:
 def drop_stopwords(text: Column, stopwords: list[str]) -> Column:
     """Remove stopwords from folded text.  Accented entries cannot match folded words."""
     tokens = words(F.regexp_replace(text, _SPLIT_POINTS, " "))
-    return F.array_join(F.filter(tokens, lambda w: ~F.lower(w).isin(stopwords)), " ")
+    listed = ", ".join(f"'{w}'" for w in stopwords)
+    kept = F.call_function("filter", tokens, F.expr(f"w -> lower(w) NOT IN ({listed})"))
+    return F.array_join(kept, " ")
 
 
 def distinct_words(text: Column) -> Column:
@@ -95,6 +97,6 @@ def without_dot_zero(text: Column) -> Column:
     return F.replace(text, F.lit(".0"), F.lit(""))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body``."""
-    return F.transform(F.array(value), body).getItem(0)
+def let(value: Column, body: str) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``, an SQL lambda."""
+    return F.call_function("transform", F.array(value), F.expr(body)).getItem(0)
