@@ -66,13 +66,15 @@ def filter_threshold(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Dat
 
 
 def rank_matches(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Threshold, then rank 1..n per query by score; ties go to the closer vector, then the id.
+    """Rank the scores at or above the threshold 1..n per query.
 
-    A query's group holds its k candidates at most, so the window stays small.
+    Ties go to the closer vector, then the smaller id.  A query's group holds its k candidates at
+    most, so the window stays small.  The threshold cuts the low end of the order, so it is applied
+    after ranking: a filter below the window would have the similarities computed twice.
     """
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.desc("score_sbert"), F.asc("cd_insumo"))
-    return filter_threshold(scored, threshold).withColumn("rank", F.row_number().over(order))
+    return filter_threshold(scored.withColumn("rank", F.row_number().over(order)), threshold)
 
 
 def filter_active(ranked: DataFrame) -> DataFrame:
