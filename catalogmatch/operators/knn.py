@@ -177,8 +177,3 @@ def knn_exact(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     if sample.num_rows <= QUERY_ROWS and sample.nbytes <= QUERY_BYTES:
         return _merge(_scan(sample, stored, k), k)
     return knn_grid(queries, items, k)
-
-
-def fits_broadcast(queries: DataFrame) -> bool:
-    """True when ``knn_exact`` will broadcast these queries, so its result is bounded as well."""
-    return queries.select("query_id").limit(QUERY_ROWS + 1).count() <= QUERY_ROWS

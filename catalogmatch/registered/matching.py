@@ -260,6 +260,18 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cd_insumo").alias("query_id"), F.col("cd_insumo").alias("expected_cd_insumo"))
 
 
+@register(f"""WITH {t.QUERIES_SQL} SELECT descricao AS query_descricao, coalesce(marca, '') AS query_marca,
+    coalesce(medida, '') AS query_medida, CASE WHEN query_id % 3 = 0 THEN NULL ELSE query_id END AS expected_cd_insumo FROM q0""")
+def scan_gold(spark, sf_dir):
+    path = shared_dir(spark, "gold")
+    t.catalog_queries(spark, sf_dir).select(
+        F.col("descricao").alias("query_descricao"), F.col("marca").alias("query_marca"),
+        F.col("medida").alias("query_medida"),
+        F.when(F.col("query_id") % 3 != 0, F.col("query_id")).alias("expected_cd_insumo"),
+    ).write.csv(path, header=True, escape='"', **writers.KEEP_BLANKS)
+    return readers.scan_gold(spark, path).fillna({"query_marca": "", "query_medida": ""})
+
+
 @register(q.with_(RANKED, GOLD, then="""SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall
     FROM gold LEFT JOIN ranked ON gold.query_id = ranked.query_id AND expected_cd_insumo = cd_insumo"""))
 def recall_at_k(spark, sf_dir):

@@ -32,6 +32,11 @@ def scan_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
         path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
 
 
+def scan_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Expected item per query from CSV with a header; the expected id may be blank."""
+    return spark.read.schema(schemas.GOLD).csv(path, header=True, quote='"', escape='"')
+
+
 def scan_ids(vectors: DataFrame) -> DataFrame:
     """Only the id column of the vector store; the vectors are never read."""
     return vectors.select("cd_insumo")

@@ -34,6 +34,17 @@ def canonical(names, rows):
     return [names[i] for i in order], sorted(out, key=lambda r: [(v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in r])
 
 
+def kind(type_name):
+    """The kind of a column type, so that a count is not mistaken for a measurement."""
+    name = str(type_name).lower()
+    for family, starts in {
+        "integer": ("tinyint", "smallint", "int", "bigint", "long"), "double": ("double",),
+        "text": ("varchar", "string"), "boolean": ("bool",)}.items():
+        if name.startswith(starts):
+            return family
+    return name
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -47,9 +58,14 @@ def difference(spark, con, sf_dir, query, twin):
     df = query(spark, sf_dir)
     names, rows = canonical(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(twin)
+    description = result.description
     names2, rows2 = canonical([d[0] for d in result.description], result.fetchall())
     if names != names2:
         return f"columns {names} and {names2}"
+    spark_kinds = {n: kind(d) for n, d in df.dtypes}
+    duck_kinds = {d[0]: kind(d[1]) for d in result.description}
+    if spark_kinds != duck_kinds:
+        return f"types {set(spark_kinds.items()) ^ set(duck_kinds.items())}"
     if rows != rows2:
         pairs = [(a, b) for a, b in zip(rows, rows2) if a != b][:3]
         return f"{len(rows)} and {len(rows2)} rows; first differences {str(pairs)[:1500]}"
