@@ -21,7 +21,9 @@ KEPT_STOPWORDS = ("com", "sem")
 SPLIT_WORDS = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na"))
 # ---- end of fixed values ----
 
-_SPLIT_POINTS = "|".join(rf"(?<=\b{a})(?={b}\b)" for a, b in SPLIT_WORDS)
+_SPLIT_PATTERN = r"\b(?:" + "|".join(f"({a})({b})" for a, b in SPLIT_WORDS) + r")\b"
+_SPLIT_PARTS = "".join(f"${2 * i + 1}" for i in range(len(SPLIT_WORDS))) + " " + "".join(
+    f"${2 * i + 2}" for i in range(len(SPLIT_WORDS)))
 
 
 @lru_cache(maxsize=1)
@@ -45,11 +47,26 @@ def _compatibility_tables() -> tuple[str, str, str]:
     return "".join(source), "".join(target), ";".join(expansions)
 
 
+def _covering_class(chars: str, gap: int = 64) -> str:
+    """A short character class that covers ``chars`` and their near neighbours.
+
+    Java tests a class range by range for every character, so a few wide ranges scan far faster
+    than hundreds of exact ones.  Catching too much is harmless where the exact lookup follows.
+    """
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def to_ascii(text: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII; rows already ASCII skip the lookup."""
     source, target, expansions = _compatibility_tables()
     table = F.str_to_map(F.lit(expansions), F.lit(";"), F.lit("="))
-    expanding = "[" + "".join(pair[0] for pair in expansions.split(";")) + "]"
+    expanding = _covering_class("".join(pair[0] for pair in expansions.split(";")))
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
@@ -81,9 +98,9 @@ def portuguese_stopwords() -> list[str]:
 
 def drop_stopwords(text: Column, stopwords: list[str]) -> Column:
     """Remove stopwords from folded text.  Accented entries cannot match folded words."""
-    tokens = words(F.regexp_replace(text, _SPLIT_POINTS, " "))
-    listed = ", ".join(f"'{w}'" for w in stopwords)
-    kept = F.call_function("filter", tokens, F.expr(f"w -> lower(w) NOT IN ({listed})"))
+    tokens = F.split(F.regexp_replace(text, _SPLIT_PATTERN, _SPLIT_PARTS), f"{SPACE}+")
+    dropped = ", ".join(f"'{w}'" for w in ["", *stopwords])
+    kept = F.call_function("filter", tokens, F.expr(f"w -> lower(w) NOT IN ({dropped})"))
     return F.array_join(kept, " ")
 
 

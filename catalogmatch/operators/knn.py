@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 QUERY_ROWS = 20_000           # broadcast at most this many queries ...
 QUERY_BYTES = 64 << 20        # ... and at most this many bytes of vectors
+SPREAD_QUERIES = 1_000        # from here on items are spread over the cores before multiplying
 CELL_QUERIES = 8_192          # grid cell: queries by items
 CELL_ITEMS = 65_536
 DIGITS = 6                    # vectors are float32: further digits are noise, ties go to the id
@@ -50,46 +51,64 @@ def _unit_rows(column, dim: int | None = None) -> np.ndarray:
 
 
 class _Best:
-    """Running best k per query over blocks of items, ordered by (similarity desc, id asc)."""
-
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
+    """Running best k of one block of queries, ordered by (similarity desc, id asc)."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.coarse = queries.astype(np.float32)
+        # single precision finds the candidates: its error on unit vectors is below this margin,
+        # which also covers two rounding steps; the candidates are then computed in double
+        self.margin = queries.shape[1] * 1.2e-7 + 2 * 10.0 ** -DIGITS
         self.q = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.sim = np.empty(0)
+        # similarity and id of the k-th item so far: what a new item has to beat
         self.floor = np.full(len(queries), -np.inf)
+        self.last_id = np.full(len(queries), np.iinfo(np.int64).max)
 
-    def add(self, ids: np.ndarray, items: np.ndarray, rows: int = 1024, cols: int = 4096) -> None:
-        for c in range(0, len(ids), cols):
-            part_ids, part = ids[c:c + cols], items[c:c + cols]
-            for r in range(0, len(self.queries), rows):
-                self._block(r, self.queries[r:r + rows], part_ids, part)
-
-    def _block(self, start: int, queries: np.ndarray, ids: np.ndarray, items: np.ndarray) -> None:
-        sims = queries @ items.T
-        cut = self.floor[start:start + len(queries)]
+    def add(self, ids: np.ndarray, items: np.ndarray, coarse: np.ndarray) -> None:
+        sims = self.coarse @ coarse.T
+        cut = self.floor
         if len(ids) > self.k and np.isinf(cut).any():
             cut = np.maximum(cut, np.partition(sims, -self.k, axis=1)[:, -self.k])
-        # a margin of two rounding steps keeps every pair that may tie after rounding
-        qi, xi = np.nonzero(sims >= (cut - 2 * 10.0 ** -DIGITS)[:, None])
+        qi, xi = np.nonzero(sims >= (cut - self.margin).astype(np.float32)[:, None])
         if not len(qi):
             return
-        q = np.concatenate([self.q, qi + start])
-        found = np.concatenate([self.ids, ids[xi]])
-        sim = np.concatenate([self.sim, np.round(sims[qi, xi], DIGITS) + 0.0])
+        if len(qi) * 32 > sims.size:  # many equal items: one product is cheaper than gathering rows
+            exact = (self.queries @ items.T)[qi, xi]
+        else:
+            exact = np.einsum("ij,ij->i", self.queries[qi], items[xi])
+        exact = np.round(exact, DIGITS) + 0.0
+        better = (exact > self.floor[qi]) | ((exact == self.floor[qi]) & (ids[xi] < self.last_id[qi]))
+        q = np.concatenate([self.q, qi[better]])
+        found = np.concatenate([self.ids, ids[xi[better]]])
+        sim = np.concatenate([self.sim, exact[better]])
         order = np.lexsort((found, -sim, q))
         q, found, sim = q[order], found[order], sim[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        sizes = np.diff(np.r_[first, len(q)])
-        place = np.arange(len(q)) - np.repeat(first, sizes)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         keep = place < self.k
-        self.q, self.ids, self.sim = q[keep], found[keep], sim[keep]
-        full = self.q[place[keep] == self.k - 1]
-        self.floor[full] = self.sim[place[keep] == self.k - 1]
+        self.q, self.ids, self.sim, place = q[keep], found[keep], sim[keep], place[keep]
+        last = place == self.k - 1
+        self.floor[self.q[last]] = self.sim[last]
+        self.last_id[self.q[last]] = self.ids[last]
 
-    def table(self, query_ids: np.ndarray) -> pa.Table:
+    def table(self) -> pa.Table:
         return pa.Table.from_arrays(
-            [pa.array(query_ids[self.q]), pa.array(self.ids), pa.array(self.sim)], schema=_RESULT)
+            [pa.array(self.query_ids[self.q]), pa.array(self.ids), pa.array(self.sim)], schema=_RESULT)
+
+
+def _best_of(query_ids: np.ndarray, queries: np.ndarray, k: int, items, rows: int = 1024, cols: int = 4096):
+    """Tables with the best k per query over an iterator of ``(ids, vectors)`` blocks of items."""
+    blocks = [_Best(query_ids[r:r + rows], queries[r:r + rows], k) for r in range(0, len(queries), rows)]
+    for ids, vectors in items:
+        for c in range(0, len(ids), cols):
+            part = vectors[c:c + cols]
+            coarse = part.astype(np.float32)
+            for block in blocks:
+                block.add(ids[c:c + cols], part, coarse)
+    for block in blocks:
+        yield block.table()
 
 
 def _select(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,20 +121,26 @@ def _select(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
 def _scan(queries: pa.Table, items: DataFrame, k: int) -> DataFrame:
     """Stream the items past a broadcast query matrix."""
     spark = items.sparkSession
+    if not queries.num_rows:
+        return spark.createDataFrame([], _RESULT_DDL)
     matrix = _unit_rows(queries.column("vector"))
     shared = spark.sparkContext.broadcast(
-        (queries.column("query_id").to_numpy(), matrix.astype(np.float64)))
+        (queries.column("query_id").to_numpy(), matrix))
 
     def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, rows = shared.value
-        best = _Best(rows, k)
-        for batch in batches:
-            best.add(batch.column(0).to_numpy(zero_copy_only=False), _unit_rows(batch.column(1), rows.shape[1]))
-        yield from best.table(query_ids).to_batches()
+        items = ((b.column(0).to_numpy(zero_copy_only=False), _unit_rows(b.column(1), rows.shape[1])) for b in batches)
+        for table in _best_of(query_ids, rows, k, items):
+            yield from table.to_batches()
 
-    # fewer, longer tasks: each one emits up to k rows per query
-    tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
-    return items.coalesce(tasks).mapInArrow(local_best, _RESULT_DDL)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if len(matrix) >= SPREAD_QUERIES:
+        # an item now costs far more to multiply than to move: spread items evenly over all cores
+        placed = items.repartition(tasks, F.xxhash64("cd_insumo", "vector"))
+    else:
+        # items stay put; fewer, longer tasks, since each one emits up to k rows per query
+        placed = items.coalesce(tasks)
+    return placed.mapInArrow(local_best, _RESULT_DDL)
 
 
 def _grid(queries: DataFrame, items: DataFrame, k: int, cell_queries: int, cell_items: int) -> DataFrame:
@@ -133,11 +158,11 @@ def _grid(queries: DataFrame, items: DataFrame, k: int, cell_queries: int, cell_
     right = items.withColumn("ib", block("cd_insumo", item_blocks)).withColumn("qb", every(query_blocks))
 
     def cell(some_queries: pa.Table, some_items: pa.Table) -> pa.Table:
+        if not some_queries.num_rows or not some_items.num_rows:
+            return _RESULT.empty_table()
         rows = _unit_rows(some_queries.column("vector"))
-        best = _Best(rows, k)
-        if len(rows) and some_items.num_rows:
-            best.add(some_items.column("cd_insumo").to_numpy(), _unit_rows(some_items.column("vector"), rows.shape[1]))
-        return best.table(some_queries.column("query_id").to_numpy())
+        block = some_items.column("cd_insumo").to_numpy(), _unit_rows(some_items.column("vector"), rows.shape[1])
+        return pa.concat_tables(_best_of(some_queries.column("query_id").to_numpy(), rows, k, [block]))
 
     return (
         left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,3 +35,22 @@ def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     A larger one is returned as it is, so Spark plans a shuffle join and AQE splits skewed keys.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where it is not installed on the executors and was not given to ``--py-files``.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="run-"), "catalogmatch"), "zip",
+        os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
