@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogmatch.session import wide_tasks
+
 QUERY_ROWS = 20_000           # broadcast at most this many queries ...
 QUERY_BYTES = 64 << 20        # ... and at most this many bytes of vectors
 SPREAD_QUERIES = 1_000        # from here on items are spread over the cores before multiplying
@@ -133,7 +135,7 @@ def _scan(queries: pa.Table, items: DataFrame, k: int) -> DataFrame:
         for table in _best_of(query_ids, rows, k, items):
             yield from table.to_batches()
 
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = wide_tasks(spark)
     if len(matrix) >= SPREAD_QUERIES:
         # an item now costs far more to multiply than to move: spread items evenly over all cores
         placed = items.repartition(tasks, F.xxhash64("cd_insumo", "vector"))

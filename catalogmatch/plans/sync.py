@@ -12,7 +12,7 @@ from catalogmatch import schemas
 from catalogmatch.operators import sets
 from catalogmatch.operators import standardize as st
 from catalogmatch.plans.standardization import standardize_catalog
-from catalogmatch.session import shared_dir
+from catalogmatch.session import shared_dir, wide_tasks
 from catalogmatch.sources import readers, writers
 
 _KINDS = {
@@ -119,13 +119,15 @@ def sync_catalog(
     # the new rows are found once and read back from the shared folder by every later step
     stage = shared_dir(spark, "new-items")
     sets.new_items(raw, vectors).write.parquet(stage)
-    usable = standardize_catalog(spark.read.schema(raw.schema).parquet(stage))
-    if usable.processed.isEmpty():
+    fresh = spark.read.schema(raw.schema).parquet(stage)
+    if st.split_rejects(fresh)[0].isEmpty():
         return sync_stats(spark, 0, encoded, False, rehydrated)
 
+    usable = standardize_catalog(fresh)
     _append_missing(usable.display, stores.read(spark, "display"), stores.display)
     _append_missing(usable.processed, stores.read(spark, "processed"), stores.processed)
-    texts = st.compose_embed_text(usable.processed)
+    texts = st.compose_embed_text(usable.processed).select(sets.ID, "embed_text").repartition(
+        wide_tasks(spark), F.xxhash64(sets.ID, "embed_text"))
     new = writers.sink_vectors_checked(encoder(texts), stores.vectors, model_name, dim)
     if stores.cache:
         rehydrate_cache(spark, stores)

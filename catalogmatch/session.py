@@ -37,6 +37,15 @@ def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def wide_tasks(spark: SparkSession) -> int:
+    """Number of tasks for rows that are few in bytes but expensive to compute.
+
+    AQE sizes partitions by bytes and would leave such work to a handful of tasks; an explicit
+    number is kept.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 _shipped: set[str] = set()
 
 
