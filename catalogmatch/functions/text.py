@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -35,8 +34,9 @@ def _compatibility_tables() -> tuple[str, str, str]:
     nothing need no entry: the clean-up after the lookup drops them.
     """
     source, target, expansions = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
-        char = chr(code)
+    for char in map(chr, range(0x80, 0x20000)):  # nothing beyond these planes folds to ASCII
+        if not unicodedata.decomposition(char):
+            continue
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         kept = "".join(ch for ch in plain if ch.isalnum() or ch.isspace())
         if len(kept) == 1:
