@@ -28,10 +28,10 @@ UNITS = (
 )
 # ---- fixed values: letters a folded or raw unit may hold when a measure is parsed ----
 UNIT_LETTERS = "a-zA-Zçãáéíóú"
-# ---- end of fixed values ----
-
+# ---- fixed values: a quantity with its unit anywhere in a text; a text that is one measure ----
 QUANTITY_UNIT = rf"(\d+[.,]?\d*){SPACE}*({'|'.join(name for name, _, _ in UNITS)})"
 PARSED = rf"^(\d+(?:[.,]\d+)?){SPACE}*((?:[{UNIT_LETTERS}]|{SPACE})*)$"
+# ---- end of fixed values ----
 
 _FACTORS = "map(" + ", ".join(f"'{u}', struct({f}D AS factor, '{t}' AS target)" for u, f, t in UNITS if f) + ")"
 

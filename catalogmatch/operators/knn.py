@@ -68,19 +68,23 @@ class _Best:
         self.floor = np.full(len(queries), -np.inf)
         self.last_id = np.full(len(queries), np.iinfo(np.int64).max)
 
-    def add(self, ids: np.ndarray, items: np.ndarray, coarse: np.ndarray) -> None:
-        sims = self.coarse @ coarse.T
-        cut = self.floor
+    def add(self, ids: np.ndarray, items: np.ndarray, coarse: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Offer items to all queries of the block, or only to those at the given positions."""
+        rows = slice(None) if only is None else only
+        queries = self.queries[rows]
+        sims = self.coarse[rows] @ coarse.T
+        cut = self.floor[rows]
         if len(ids) > self.k and np.isinf(cut).any():
             cut = np.maximum(cut, np.partition(sims, -self.k, axis=1)[:, -self.k])
         qi, xi = np.nonzero(sims >= (cut - self.margin).astype(np.float32)[:, None])
         if not len(qi):
             return
         if len(qi) * 32 > sims.size:  # many equal items: one product is cheaper than gathering rows
-            exact = (self.queries @ items.T)[qi, xi]
+            exact = (queries @ items.T)[qi, xi]
         else:
-            exact = np.einsum("ij,ij->i", self.queries[qi], items[xi])
+            exact = np.einsum("ij,ij->i", queries[qi], items[xi])
         exact = np.round(exact, DIGITS) + 0.0
+        qi = qi if only is None else only[qi]
         better = (exact > self.floor[qi]) | ((exact == self.floor[qi]) & (ids[xi] < self.last_id[qi]))
         q = np.concatenate([self.q, qi[better]])
         found = np.concatenate([self.ids, ids[xi[better]]])
@@ -172,16 +176,13 @@ def _grid(queries: DataFrame, items: DataFrame, k: int, cell_queries: int, cell_
     )
 
 
-def _merge(local: DataFrame, k: int) -> DataFrame:
+def _merge(local: DataFrame, k: int, clip: bool = True) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("cd_insumo"))
-    return (
-        local.withColumn("knn_rank", F.row_number().over(order)).where(F.col("knn_rank") <= k)
-        .select(
-            "query_id", "cd_insumo",
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("score_sbert"),
-            "knn_rank",
-        )
-    )
+    best = local.withColumn("knn_rank", F.row_number().over(order)).where(F.col("knn_rank") <= k)
+    if not clip:
+        return best
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("score_sbert")
+    return best.select("query_id", "cd_insumo", score, "knn_rank")
 
 
 def knn_grid(

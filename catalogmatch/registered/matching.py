@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.operators import embed, knn, metrics, ranking
+from catalogmatch.operators import embed, ivf, knn, metrics, ranking
 from catalogmatch.operators import standardize as st
 from catalogmatch.plans.search import hybrid_search as search
 from catalogmatch.plans.standardization import standardize_catalog
@@ -118,6 +118,12 @@ def knn_grid(spark, sf_dir):
         t.query_vectors(spark, sf_dir), t.item_vectors(spark, sf_dir), K, cell_queries=400, cell_items=300)
 
 
+@register(q.with_(ALL_ITEMS, KNN, then="SELECT query_id, cd_insumo, score_sbert, knn_rank FROM knn"))
+def knn_ivf(spark, sf_dir):
+    clustered = ivf.cluster_items(t.item_vectors(spark, sf_dir), clusters=16)
+    return ivf.knn_ivf(t.query_vectors(spark, sf_dir), clustered, K)
+
+
 # ---- similarities ----
 
 SUCCESSORS = """SELECT a.cd_insumo AS query_id, b.cd_insumo, 0.5::DOUBLE AS score_sbert, a.insumo_descricao AS q_descricao, a.marca AS q_marca,

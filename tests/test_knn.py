@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalogmatch.operators import knn
+from catalogmatch.operators import ivf, knn
 
 
 def frames(spark, queries, items, parts=4):
@@ -96,3 +96,26 @@ def test_wrong_length_and_missing_vectors_are_errors(spark):
     missing = d.withColumn("vector", F.lit(None).cast("array<float>"))
     with pytest.raises(Exception, match="some rows have none"):
         knn.knn_exact(q, missing, 3).collect()
+
+
+@pytest.mark.parametrize("k", [1, 7, 400, 2000])
+def test_clustered_search_equals_brute_force(spark, sample, k):
+    queries, items = sample
+    q, d = frames(spark, queries, items)
+    clustered = ivf.cluster_items(d, clusters=12)
+    assert clustered.sizes.sum() == len(items) and clustered.sizes[-1] == 1
+    assert rows(ivf.knn_ivf(q, clustered, k)) == sorted(brute(queries, items, k))
+    assert rows(ivf.knn_ivf(q.where("false"), clustered, k)) == []
+
+
+def test_clustered_search_skips_far_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    middles = np.eye(8) * 10
+    items = np.vstack([middles[i % 8] + rng.normal(scale=0.1, size=8) for i in range(800)])
+    q, d = frames(spark, items[:5], items)
+    clustered = ivf.cluster_items(d, clusters=8)
+    read = []
+    search = ivf._search
+    monkeypatch.setattr(ivf, "_search", lambda i, a, b, wanted, k, s: read.append(wanted.sum()) or search(i, a, b, wanted, k, s))
+    assert rows(ivf.knn_ivf(q, clustered, 10)) == sorted(brute(items[:5], items, 10))
+    assert sum(read) < 5 * 8
