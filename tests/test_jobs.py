@@ -256,3 +256,16 @@ def test_id_scan_reads_one_column(spark, raw):
     encoder(st.compose_embed_text(standardize_catalog(raw).processed)).select("cd_insumo", "vector").write.parquet(path)
     plan = readers.scan_ids(spark.read.parquet(path))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<cd_insumo:bigint>" in plan
+
+
+def test_sync_into_tables(spark, raw):
+    folder = shared_dir(spark, "db")
+    database = folder.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    writers.ensure_tables(spark, database)
+    stores = sync.Stores(*[f"{database}.{n}" for n in (
+        "catalog_display", "catalog_processed", "item_vectors", "unit_map", "item_cache")])
+    assert tuple(sync.sync_catalog(raw, stores, encoder, "m", DIM).first()) == (4, 4, True, 0)
+    assert tuple(sync.sync_catalog(raw, stores, encoder, "m", DIM).first()) == (0, 4, False, 0)
+    assert counts(spark, stores) == {"display": 4, "processed": 4, "vectors": 4, "cache": 4, "unit_map": 5}
+    assert spark.table(stores.display).where("updated_at is not null").count() == 4
