@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogmatch.llm import repeats
+from catalogmatch.llm import bpe, repeats, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,28 @@ def _register(query: Query) -> Query:
     return query
 
 
+def byte_bpe_path() -> str:
+    """The byte-level BPE file of the public tokenizers; only the driver opens it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_register
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return bpe.encode(_documents(spark, sf_dir), byte_bpe_path(), digest=True)
+
+
+@_register
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+TWINS["op4_url_filter"] = urls.twin()
+
+
 @_register
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the windows of 13 words that an earlier document has."""
