@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogmatch.llm import bpe, repeats, urls
+from catalogmatch.llm import bpe, jaccard, repeats, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +48,9 @@ TWINS["op4_url_filter"] = urls.twin()
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the windows of 13 words that an earlier document has."""
     return repeats.remove_repeats(_documents(spark, sf_dir), digest=True)
+
+
+@_register
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are at least three quarters alike."""
+    return jaccard.jaccard_components(_documents(spark, sf_dir))
