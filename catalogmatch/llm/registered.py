@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalogmatch.llm import bpe, jaccard, quality, repeats, urls
+from catalogmatch.llm import bpe, decontaminate, jaccard, lines, quality, repeats, shards, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +62,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge(docs, quality.fit(docs, labels))
+
+
+@_register
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark item that each document covers, if any."""
+    return decontaminate.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_register
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template an earlier document has."""
+    kept = lines.drop_recurring_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+TWINS["op1_line_dedup"] = lines.twin()
+
+
+@_register
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shards.shard(_documents(spark, sf_dir).select("doc_id", "text")).drop("record")
