@@ -69,10 +69,11 @@ def recurring(docs: DataFrame) -> DataFrame:
                  .where("first < last").select("key", "first"), "lines-recurring")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; all other columns as they are.
 
-    Two columns are added: ``n_lines`` and ``n_dropped`` (0 for a null text).
+    Two columns named ``counts`` are added, the lines of the text and those that went (0 for a null
+    text).  Columns of these names in ``docs`` are replaced.
     """
     gone = _lines(docs).join(recurring(docs), "key").where("first < ord").groupBy("ord").agg(F.collect_set("own").alias("__gone"))
     gone = gone.withColumnRenamed("ord", "__ord")
@@ -82,8 +83,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__kept", F.when(gone["__gone"].isNotNull() & text.isNotNull(), kept))
     total = F.when(text.isNull(), 0).otherwise(F.size(lines))
     return rows.select(
-        *[F.coalesce(F.array_join("__kept", "\n"), text).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        total.cast("long").alias("n_lines"), F.when(F.col("__kept").isNull(), 0).otherwise(total - F.size("__kept")).cast("long").alias("n_dropped"))
+        *[F.coalesce(F.array_join("__kept", "\n"), text).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in counts],
+        total.cast("long").alias(counts[0]), F.when(F.col("__kept").isNull(), 0).otherwise(total - F.size("__kept")).cast("long").alias(counts[1]))
 
 
 def twin() -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm import bpe, decontaminate, jaccard, lines, quality, repeats, shards, urls
+from catalogmatch.llm import bpe, decontaminate, jaccard, lines, pack, private, quality, repeats, shards, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,15 @@ TWINS["op1_line_dedup"] = lines.twin()
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return shards.shard(_documents(spark, sf_dir).select("doc_id", "text")).drop("record")
+
+
+@_register
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates in place of personal data."""
+    return private.replace_private(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_entities", "text")
+
+
+@_register
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, packed into rows of 2048."""
+    return pack.pack(_documents(spark, sf_dir), byte_bpe_path())
