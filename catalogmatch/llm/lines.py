@@ -7,8 +7,8 @@ generalised, so lines that differ in one field anywhere behind the lead have a t
 A line goes when an earlier document has one of its templates; the first document keeps its lines,
 so no content is lost from the corpus.  DataFrame functions only.
 
-Templates are counted with partial aggregation and joined back by key, both sides shuffled from
-written tables, so AQE splits a line that a third of all documents has.
+Templates are written down once per line, counted with partial aggregation and joined back by key,
+both sides shuffled from written tables, so AQE splits a line that a third of all documents has.
 
 Defined results: a null text stays null; blank lines and lines without any constant token are no
 templates and stay; a text whose lines all go becomes empty; a document without ``doc_id`` counts as
@@ -29,43 +29,54 @@ LEAST = 8
 _BLANK, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 #: a token with a digit or an at sign, found from its first character only
 _FIELD = rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+"
+#: lines without a field and with single blanks between tokens, most of them, are spared the rest
+_ROUGH = r"[0-9@\x09-\x0D]| (?: |$)|^ "
 
 
 def masked(line: Column) -> Column:
     """Tokens joined by single blanks, variable fields as ``<*>``."""
-    plain = F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), _BLANK, " ")
-    return F.trim(plain)
+    whole = F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), _BLANK, " "))
+    return F.when(line.rlike(_ROUGH), whole).otherwise(line)
 
 
-def template(line: Column) -> Column:
-    """Hash of the masked line with its number of tokens; null for lines that are no templates."""
-    plain = masked(line)
-    constant = F.length(F.replace(F.replace(plain, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit(""))) > 0
-    return F.when(constant, F.xxhash64(plain))
+def _quarters(tokens: Column) -> Column:
+    """Hash of each quarter of the tokens."""
+    n = F.size(tokens)
 
+    def cut(q: Column) -> Column:
+        return F.floor(n * q / QUARTERS).cast("int")
 
-def _templates(own: Column, tokens: Column) -> Column:
-    """All templates of a line: its own, and those with one later quarter generalised."""
-    n = F.size(tokens)
+    return F.transform(F.sequence(F.lit(0), F.lit(QUARTERS - 1)), lambda q: F.xxhash64(F.slice(tokens, cut(q) + 1, cut(q + 1) - cut(q))))
 
-    def part(low: Column, high: Column) -> Column:
-        return F.array_join(F.slice(tokens, low + 1, high - low), " ")
 
-    cuts = [F.floor(n * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]
-    wide = [F.xxhash64(F.lit(q), n, part(F.lit(0), F.greatest(cuts[q], F.lit(LEAD))), part(cuts[q + 1], n)) for q in range(1, QUARTERS)]
-    return F.when(n >= LEAST, F.array(own, *wide)).otherwise(F.array(own))
+def _templates(plain: Column, n: Column, quarters: Column) -> Column:
+    """All templates of a masked line: its own, and those with one later quarter generalised."""
+    wide = F.transform(F.sequence(F.lit(1), F.lit(QUARTERS - 1)), lambda q: F.xxhash64(
+        q, n, F.transform(quarters, lambda h, k: F.when(k == q, F.lit(0).cast("long")).otherwise(h))))
+    own = F.array(F.xxhash64(F.lit(0), plain))
+    return F.when(n >= LEAST, F.concat(own, wide)).otherwise(own)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``ord, own, key``: every template of every line of every document."""
-    line = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.explode(F.split("text", "\n")).alias("line"))
-    plain = line.select("ord", masked(F.col("line")).alias("plain"), template(F.col("line")).alias("own")).where("own is not null")
-    return plain.select("ord", "own", F.explode(_templates(F.col("own"), F.split("plain", " "))).alias("key"))
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """Place in the order of documents, and a hash that tells apart rows of one id."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"])
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
+    """``ord, row, line, key``: every template of every line (by its number) of every document."""
+    order, row = _place(docs)
+    lines = docs.select(order.alias("ord"), row.alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    plain = lines.select("ord", "row", "line", masked(F.col("text")).alias("plain"))
+    tokens = plain.select("*", F.split("plain", " ").alias("tokens"))
+    parts = tokens.select("ord", "row", "line", "plain", F.size("tokens").alias("n"), _quarters(F.col("tokens")).alias("quarters"),
+                          F.exists("tokens", lambda t: (t != "<*>") & (t != "")).alias("constant"))
+    keys = F.when(F.col("constant"), _templates(F.col("plain"), F.col("n"), F.col("quarters")))
+    return parts.select("ord", "row", "line", F.explode(keys).alias("key"))
+
+
+def recurring(lines: DataFrame) -> DataFrame:
     """``key, first``: templates that several documents have, with the first of these."""
-    return stage(_lines(docs).select("key", "ord").groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    return stage(lines.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
                  .where("first < last").select("key", "first"), "lines-recurring")
 
 
@@ -75,11 +86,14 @@ def drop_recurring_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines",
     Two columns named ``counts`` are added, the lines of the text and those that went (0 for a null
     text).  Columns of these names in ``docs`` are replaced.
     """
-    gone = _lines(docs).join(recurring(docs), "key").where("first < ord").groupBy("ord").agg(F.collect_set("own").alias("__gone"))
-    gone = gone.withColumnRenamed("ord", "__ord")
+    templates = stage(_lines(docs), "lines-templates")
+    gone = templates.join(recurring(templates), "key").where("first < ord").groupBy("ord", "row").agg(F.collect_set("line").alias("__gone"))
+    gone = gone.withColumnsRenamed({"ord": "__ord", "row": "__row"})
+    order, row = _place(docs)
     text, lines = docs["text"], F.split(docs["text"], "\n")
-    rows = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == gone["__ord"], "left")
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(gone["__gone"], template(line)), F.lit(False)))
+    rows = docs.join(gone, (order == gone["__ord"]) & (row == gone["__row"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
+    kept = F.transform(left, lambda i: F.get(lines, i))
     rows = rows.withColumn("__kept", F.when(gone["__gone"].isNotNull() & text.isNotNull(), kept))
     total = F.when(text.isNull(), 0).otherwise(F.size(lines))
     return rows.select(
