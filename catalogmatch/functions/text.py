@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +13,21 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ASCII_SPACE = r"[\t-\r\x{1c}-\x{20}]"
 
+# ---- fixed values: the public Portuguese stopword list that Spark ships, in its order ----
+PORTUGUESE = """
+    de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando
+    muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse eles você
+    essa num nem suas meu às minha numa pelos elas qual nós lhe deles essas esses pelas este dele tu te vocês vos
+    lhes meus minhas teu tua teus tuas nosso nossa nossos nossas dela delas esta estes estas aquele aquela aqueles
+    aquelas isto aquilo estou está estamos estão estive esteve estivemos estiveram estava estávamos estavam
+    estivera estivéramos esteja estejamos estejam estivesse estivéssemos estivessem estiver estivermos estiverem
+    hei há havemos hão houve houvemos houveram houvera houvéramos haja hajamos hajam houvesse houvéssemos
+    houvessem houver houvermos houverem houverei houverá houveremos houverão houveria houveríamos houveriam sou
+    somos são era éramos eram fui foi fomos foram fora fôramos seja sejamos sejam fosse fôssemos fossem for formos
+    forem serei será seremos serão seria seríamos seriam tenho tem temos tém tinha tínhamos tinham tive teve
+    tivemos tiveram tivera tivéramos tenha tenhamos tenham tivesse tivéssemos tivessem tiver tivermos tiverem
+    terei terá teremos terão teria teríamos teriam
+""".split()
 # ---- fixed values: stopwords kept although the language list holds them ----
 KEPT_STOPWORDS = ("com", "sem")
 # ---- fixed values: words a Treebank word tokenizer cuts in two ----
@@ -92,8 +106,8 @@ def fold(text: Column) -> Column:
 
 
 def portuguese_stopwords() -> list[str]:
-    """The Portuguese list shipped with Spark, minus the words that carry meaning here."""
-    return [w for w in StopWordsRemover.loadDefaultStopWords("portuguese") if w not in KEPT_STOPWORDS]
+    """The Portuguese list, minus the words that carry meaning here."""
+    return [w for w in PORTUGUESE if w not in KEPT_STOPWORDS]
 
 
 def drop_stopwords(text: Column, stopwords: list[str]) -> Column:

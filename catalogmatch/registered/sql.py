@@ -6,23 +6,12 @@ choice (accents by ``strip_accents``, longest common subsequence by a table of r
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
-import pyspark
-
 from catalogmatch.functions.measures import UNITS
-from catalogmatch.functions.text import KEPT_STOPWORDS, SPLIT_WORDS
+from catalogmatch.functions.text import SPLIT_WORDS, portuguese_stopwords
 
 
-@lru_cache(maxsize=1)
 def _stopword_list() -> str:
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        lines = z.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split()
-    return "[" + ",".join(f"'{w}'" for w in lines if w not in KEPT_STOPWORDS) + "]"
+    return "[" + ",".join(f"'{w}'" for w in portuguese_stopwords()) + "]"
 
 
 def fold(e: str) -> str:
