@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,16 +15,24 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path below the one the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder path below the one the cluster shares.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    That is ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``.  Only a session
+    that runs on one machine may go without and gets a temporary folder; on a cluster executors
+    would each write to a disk of their own, so there the setting is required.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="run-")
+        base = _local_dir(spark.sparkContext.master)
     return f"{base.rstrip('/')}/catalogmatch-{label}-{uuid.uuid4().hex}"
 
 
+def _local_dir(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="run-")
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads at most one row more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
