@@ -48,6 +48,8 @@ def _unit_rows(column, dim: int | None = None) -> np.ndarray:
     if (lengths != expected).any():
         raise ValueError(f"vectors must have {expected} numbers; some have {set(lengths.tolist()) - {expected}}")
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, expected)
+    if not np.isfinite(rows).all():
+        raise ValueError("vectors must hold finite numbers; some hold NaN, infinity or null")
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1.0)
 
@@ -201,7 +203,19 @@ def knn_exact(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     With fewer than ``k`` items all of them are returned.
     """
     wanted, stored = _select(queries, items)
-    sample = wanted.limit(QUERY_ROWS + 1).toArrow()
-    if sample.num_rows <= QUERY_ROWS and sample.nbytes <= QUERY_BYTES:
-        return _merge(_scan(sample, stored, k), k)
+    if small_enough(wanted):
+        return _merge(_scan(wanted.toArrow(), stored, k), k)
     return knn_grid(queries, items, k)
+
+
+def small_enough(queries: DataFrame) -> bool:
+    """Whether query vectors may be collected and broadcast, found without collecting any.
+
+    Rows are counted on the ids alone, so an encoder behind the vectors does not run; then one row
+    tells the length of a vector and so the bytes of all.
+    """
+    count = queries.select("query_id").count()
+    if count > QUERY_ROWS:
+        return False
+    first = queries.select(F.size("vector").alias("dim")).first()
+    return first is None or count * (8 + 4 * max(0, first.dim or 0)) <= QUERY_BYTES

@@ -30,9 +30,10 @@ def sink_replace_small(df: DataFrame, target: str) -> None:
 
 
 def split_bad_vectors(items: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Items whose vector has ``dim`` numbers, and those whose vector has not (or is missing)."""
-    length = F.coalesce(F.size("vector"), F.lit(-1))
-    return items.where(length == dim), items.where(length != dim)
+    """Items whose vector has ``dim`` finite numbers, and those whose vector has not (or is missing)."""
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # false for NaN too
+    good = F.coalesce((F.size("vector") == dim) & finite, F.lit(False))
+    return items.where(good), items.where(~good)
 
 
 def stamp_vectors(items: DataFrame, model_name: str, dim: int) -> DataFrame:
@@ -60,7 +61,7 @@ def sink_vectors_checked(items: DataFrame, target: str, model_name: str, dim: in
     count = bad.count()
     if count:
         named = [row.cd_insumo for row in bad.select("cd_insumo").orderBy("cd_insumo").limit(5).collect()]
-        raise ValueError(f"{count} vectors do not have {dim} numbers; ids (up to 5): {named}")
+        raise ValueError(f"{count} vectors do not have {dim} finite numbers; ids (up to 5): {named}")
     sink_append(staged, target)
     return staged.count()
 
