@@ -13,8 +13,13 @@ ID = "cd_insumo"
 
 
 def new_items(raw: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Raw items that have no vector yet.  A null id always counts as new."""
-    return raw.join(vectors.select(ID), ID, "left_anti").select(raw.columns)
+    """Raw items that have no vector yet.  A row without an id is no item and is left out."""
+    return raw.where(F.col(ID).isNotNull()).join(vectors.select(ID), ID, "left_anti").select(raw.columns)
+
+
+def repeated_ids(df: DataFrame) -> DataFrame:
+    """Ids that stand in more than one row, with the number of their rows."""
+    return df.where(F.col(ID).isNotNull()).groupBy(ID).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
 def missing_local(vectors: DataFrame, cache: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def parse_measures(df: DataFrame, col: str) -> DataFrame:
 
 
 def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be standardized, and rows without an item name, which cannot."""
-    return raw.where(F.col("insumo").isNotNull()), raw.where(F.col("insumo").isNull())
+    """Rows that can be standardized, and rows without an item name or id, which cannot."""
+    usable = F.col("insumo").isNotNull() & F.col("cd_insumo").isNotNull()
+    return raw.where(usable), raw.where(~usable)
 
 
 def fill_defaults(raw: DataFrame) -> DataFrame:

@@ -106,7 +106,8 @@ def sync_catalog(
 
     Nothing new means no writes except a cache repair.  Vectors are written last and each store is
     compared on its own ids, so a run that was lost half-way is completed by the next one without
-    duplicates.  Items without a name are left out, as they cannot be standardized.
+    duplicates.  Items without an id or a name are left out, as they cannot be stored or standardized;
+    an id that repeats among the new rows is refused before anything is written.
 
     ``unit_source`` is the full raw table where ``raw`` is only a part of it (streaming).
     """
@@ -120,6 +121,9 @@ def sync_catalog(
     stage = shared_dir(spark, "new-items")
     sets.new_items(raw, vectors).write.parquet(stage)
     fresh = spark.read.schema(raw.schema).parquet(stage)
+    repeated = sets.repeated_ids(fresh).orderBy(sets.ID).limit(5).collect()
+    if repeated:
+        raise ValueError(f"item ids must be unique; repeated (up to 5): {[row[sets.ID] for row in repeated]}")
     if st.split_rejects(fresh)[0].isEmpty():
         return sync_stats(spark, 0, encoded, False, rehydrated)
 
