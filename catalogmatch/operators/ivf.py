@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from catalogmatch.operators import knn
 from catalogmatch.session import shared_dir, wide_tasks
 
-SAMPLE_ROWS = 100_000  # the centres are fitted on about this many items; they affect speed only
+ITEMS_PER_CLUSTER = 2_000  # clusters grow in number with the items, up to MOST_CLUSTERS
+MOST_CLUSTERS = 4_096
 
 
 @dataclass(frozen=True)
@@ -37,15 +39,19 @@ class ClusteredItems:
     radii: np.ndarray
 
 
-def cluster_items(items: DataFrame, clusters: int = 256, path: str | None = None, seed: int = 7) -> ClusteredItems:
-    """Store ``cd_insumo, vector`` by cluster; ``path`` defaults to the shared folder."""
+def cluster_items(items: DataFrame, clusters: int | None = None, path: str | None = None, seed: int = 7) -> ClusteredItems:
+    """Store ``cd_insumo, vector`` by cluster; ``path`` defaults to the shared folder.
+
+    The centres are fitted on all items by Spark's k-means; their number follows from the row count
+    unless it is given.
+    """
     spark = items.sparkSession
     path = path or shared_dir(spark, "clusters")
     stored = items.select(
         F.col("cd_insumo").cast("bigint"), F.col("vector").cast("array<float>").alias("vector"))
-    share = min(1.0, SAMPLE_ROWS / max(1, stored.count()))
-    model = KMeans(k=clusters, seed=seed, maxIter=10).fit(
-        stored.sample(share, seed).select(array_to_vector("vector").alias("features")))
+    if clusters is None:
+        clusters = max(16, min(MOST_CLUSTERS, stored.count() // ITEMS_PER_CLUSTER))
+    model = KMeans(k=clusters, seed=seed, maxIter=10).fit(stored.select(array_to_vector("vector").alias("features")))
     centres = np.array(model.clusterCenters())
     shared = spark.sparkContext.broadcast(centres)
 
@@ -105,16 +111,29 @@ def _search(items: ClusteredItems, query_ids: np.ndarray, rows: np.ndarray, want
 def knn_ivf(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
     """The ``k`` closest items per query, the same rows as ``knn_exact``.
 
-    Query tables too large to broadcast are sent to ``knn_grid`` over all items.
+    Query tables too large to broadcast are written down and searched in blocks that are not.
     """
-    spark = queries.sparkSession
     wanted = queries.select(
         F.col("query_id").cast("bigint"), F.col("vector").cast("array<float>").alias("vector"))
-    sample = wanted.limit(knn.QUERY_ROWS + 1).toArrow()
-    if sample.num_rows > knn.QUERY_ROWS or sample.nbytes > knn.QUERY_BYTES:
-        return knn.knn_grid(queries, spark.read.parquet(items.path), k)
+    if knn.small_enough(wanted):
+        return knn._merge(_pruned(wanted.toArrow(), items, k, queries.sparkSession), k)
+    path = shared_dir(queries.sparkSession, "queries")
+    wanted.write.parquet(path)
+    stored = queries.sparkSession.read.schema(wanted.schema).parquet(path)
+    blocks = 2
+    while True:  # halve until every block fits
+        parts = [stored.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+        if all(knn.small_enough(part) for part in parts):
+            break
+        blocks *= 2
+    found = [_pruned(part.toArrow(), items, k, queries.sparkSession) for part in parts]
+    return knn._merge(reduce(DataFrame.unionByName, found), k)
+
+
+def _pruned(sample: pa.Table, items: ClusteredItems, k: int, spark) -> DataFrame:
+    """Best items per task of one block of queries, reading only clusters that can matter."""
     if not sample.num_rows:
-        return knn._merge(spark.createDataFrame([], knn._RESULT_DDL), k)
+        return spark.createDataFrame([], knn._RESULT_DDL)
     query_ids, rows = sample.column("query_id").to_numpy(), knn._unit_rows(sample.column("vector"))
 
     squares = (rows ** 2).sum(1)[:, None] + (items.centres ** 2).sum(1)[None, :] - 2 * rows @ items.centres.T
@@ -136,4 +155,4 @@ def knn_ivf(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
     reach[at] = np.sqrt(np.maximum(2 - 2 * kth.similarity + 4 * 10.0 ** -knn.DIGITS, 0))
     second = (nearest_possible <= reach[:, None]) & ~first & (items.sizes > 0)
     rest = _search(items, query_ids, rows, second, k, spark)
-    return knn._merge(found.drop("knn_rank").unionByName(rest), k)
+    return found.drop("knn_rank").unionByName(rest)
