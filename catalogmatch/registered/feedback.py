@@ -10,6 +10,7 @@ from catalogmatch.registered import tables as t
 from catalogmatch.registered.registry import register
 from catalogmatch.session import shared_dir
 from catalogmatch.sources import readers, writers
+from catalogmatch.streaming.feedback_stream import collect_votes, live_counts
 from catalogmatch.streaming.feedback_stream import feedback_stream_stats as stream_stats
 
 TIME = "%Y-%m-%d %H:%M:%S.%f"
@@ -122,16 +123,35 @@ def feedback_readiness(spark, sf_dir):
     return fb.feedback_readiness(t.feedback(spark, sf_dir))
 
 
-@register(f"""{WITH}, hours AS (SELECT date_trunc('hour', timestamp_utc) AS h, count(*) AS total,
+HOURS = f"""{WITH}, hours AS (SELECT date_trunc('hour', timestamp_utc) AS h, count(*) AS total,
         count(*) FILTER (label = 1) AS approved FROM feedback GROUP BY 1)
-    SELECT strftime(h, '{TIME}') AS window_start, total, approved, total - approved AS rejected FROM hours
-    WHERE h + INTERVAL 1 HOUR <= (SELECT max(timestamp_utc) - INTERVAL 1 HOUR FROM feedback)""")
-def feedback_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    SELECT strftime(h, '{TIME}') AS window_start, total, approved, total - approved AS rejected FROM hours"""
+
+
+def _shown_hours(counts: DataFrame) -> DataFrame:
+    return counts.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "total", "approved", "rejected")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = t.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return t.feedback_from_events(events)
+
+
+@register(f"{HOURS} WHERE h + INTERVAL 1 HOUR <= (SELECT max(timestamp_utc) - INTERVAL 1 HOUR FROM feedback)")
+def feedback_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
     out = shared_dir(spark, "live")
-    stream = stream_stats(t.feedback_from_events(events)).writeStream.format("parquet").option(
+    stream = stream_stats(_stream(spark, sf_dir)).writeStream.format("parquet").option(
         "checkpointLocation", shared_dir(spark, "live-state")).outputMode("append").trigger(availableNow=True).start(out)
     stream.awaitTermination()
-    return spark.read.parquet(out).select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "total", "approved", "rejected")
+    return _shown_hours(spark.read.parquet(out))
+
+
+@register(HOURS)
+def feedback_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, those still open included."""
+    out = shared_dir(spark, "votes")
+    collect_votes(_stream(spark, sf_dir), out, shared_dir(spark, "votes-state")).awaitTermination()
+    return _shown_hours(live_counts(spark, out))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def feedback_stream_stats(feedback: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -21,3 +22,31 @@ def feedback_stream_stats(feedback: DataFrame, window: str = "1 hour", delay: st
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
         "total", "approved", (F.col("total") - F.col("approved")).alias("rejected"),
     )
+
+
+def hourly(votes: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Votes, approvals and rejections per time window of stored votes, each ``feedback_id`` once."""
+    unique = votes.withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp")).groupBy("feedback_id").agg(
+        F.min(F.struct("timestamp_utc", "label")).alias("vote"))
+    counted = unique.groupBy(F.window("vote.timestamp_utc", window).alias("w")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("vote.label") == 1).alias("approved"))
+    return counted.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+        "total", "approved", (F.col("total") - F.col("approved")).alias("rejected"))
+
+
+def collect_votes(feedback: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Store what live counts need of each vote, one folder per batch.
+
+    A batch that runs again replaces its own folder.  ``live_counts`` over the store is complete at
+    any time: windows still open and late votes are in it, unlike in an append stream.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("feedback_id", "timestamp_utc", "label").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return feedback.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_counts(spark: SparkSession, target: str, window: str = "1 hour") -> DataFrame:
+    """Counts per window of all votes collected so far."""
+    return hourly(spark.read.parquet(target), window)
