@@ -80,7 +80,7 @@ FEEDBACK_NESTED = T.StructType([
     T.StructField("weights_snapshot", T.MapType(_S, _D)),
 ])
 
-# flat stored name -> dotted name used when reading feedback back
+# ---- fixed values: flat stored name -> dotted name used when reading feedback back ----
 FEEDBACK_READ_NAMES = {
     "timestamp_utc": "timestamp",
     "user_descricao": "user_input.descricao",

@@ -2,6 +2,7 @@ import random
 import sys
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalogmatch.functions import measures, numbers, scoring, text, tokens
@@ -133,6 +134,20 @@ def test_common_subsequence():
     assert [tokens.common_subsequence(a, b) for a, b in rows] == [subsequence(a, b) for a, b in rows]
 
 
+def test_common_subsequences_of_many_pairs():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcé 中") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 90]))) for _ in range(600)]
+    a, b = texts[::2], texts[1::2]
+    assert tokens.common_subsequences(a, b).tolist() == [tokens.common_subsequence(x, y) for x, y in zip(a, b)]
+
+
+def test_token_set_ratio_against_values_worked_out_by_hand(spark):
+    # remainders "ab" and "ac" share one letter: 1 - 2 / 4; behind a shared word "x": 1 - 2 / 8
+    rows = [("ab", "ac", 0.5), ("x ab", "x ac", 0.75), ("x", "x y", 1.0), ("a", "b", 0.0), ("", "a", 0.0), (None, "a", 0.0)]
+    got = pairs(spark, [(a, b) for a, b, _ in rows], tokens.token_set_ratio)
+    assert got == pytest.approx([want for *_, want in rows])
+
+
 def test_token_set_ratio(spark):
     rng = random.Random(5)
     vocabulary = ["tubo", "pvc", "tigre", "do", "brasil", "75", "100", "esgoto", "marca", "sem", "brand17",
