@@ -5,12 +5,13 @@ compared once.  Two sets that reach the similarity share one of the first quarte
 in any common order (``_prefix``), so sets meet by these shingles only.  The order puts shingles that
 many documents have last, so a license line or a common passage brings nobody together.
 
-Where sets meet, they are compared as points: shingles are hashed into ``GROUPS`` groups, and the
-counts per group are the coordinates.  An R-tree over the points bounds the overlap of a set with a
-whole box by the sum of the smaller coordinates, and what it cannot exclude is verified on the texts.
+Where sets meet, they are compared as points: shingles are hashed into groups, and the counts per
+group are the coordinates.  An R-tree over the points bounds the overlap of a set with a whole box by
+the sum of the smaller coordinates.  Pairs it cannot exclude meet the same bound with more groups,
+one for four shingles, and what is left is verified on the texts.
 
-Large families of near copies are not spelled out pair by pair: the first round links each set to
-few others at its meeting points, the second looks only for pairs between what is not yet connected.
+Large families of near copies are not spelled out pair by pair: the first round tries one other set
+for each, the second looks only for pairs between what is not yet connected.
 
 Defined results: a null or empty text has an empty set and links with nothing; a row without
 ``doc_id`` is in no component (null); rows that share a ``doc_id`` are judged each by its own text;
@@ -34,11 +35,10 @@ from catalogmatch.llm.staging import stage
 
 SHINGLE = 5
 PERCENT = 75
-GROUPS = 128
+LEAST_BAND, TREE_BAND = 6, 8  # at meeting points a set has 64 to 256 groups, afterwards as many as its size asks for
 HEAVY_SHARE = 0.002  # a shingle in more of the documents than this goes last in the order
 CELL = 2048
 LEAF = 16
-_TOP = np.uint64(1) << np.uint64(63)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -59,14 +59,27 @@ def set_sign(shingles: np.ndarray) -> int:
     return int(w.mix(np.array([total]))[0].astype(np.int64))
 
 
-def _prefix(shingles: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
+class Heavy:
+    """The shingles that go last, with a filter in front of the exact look-up."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = np.sort(shingles)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.shingles >> np.uint64(42)] = True
+
+    def among(self, shingles: np.ndarray) -> np.ndarray:
+        out = self.filter[shingles >> np.uint64(42)]
+        at = np.flatnonzero(out)
+        out[at] = np.isin(shingles[at], self.shingles)
+        return out
+
+
+def _prefix(shingles: np.ndarray, heavy: Heavy, percent: int) -> np.ndarray:
     """The shingles one of which any set similar enough must share: all but the overlap it needs, and one."""
-    if len(heavy):
-        shingles = np.sort((shingles >> np.uint64(1)) | np.where(np.isin(shingles, heavy), _TOP, np.uint64(0)))
-    else:
-        shingles = shingles >> np.uint64(1)
-    need = -(-percent * len(shingles) // 100)
-    return shingles[:len(shingles) - need + 1]
+    some = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    last = heavy.among(shingles)
+    first = shingles[~last][:some]
+    return np.concatenate([first, shingles[last][:some - len(first)]]) if len(first) < some else first
 
 
 def _heavy_here(batches: Iterator[pa.RecordBatch], least: int = 3, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -89,7 +102,7 @@ def _heavy_here(batches: Iterator[pa.RecordBatch], least: int = 3, chunk: int =
         yield flush()
 
 
-def heavy_shingles(docs: DataFrame, share: float = HEAVY_SHARE) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, share: float = HEAVY_SHARE) -> Heavy:
     """Shingles in more than ``share`` of the documents, counted over all of them.
 
     At most ``1 / share`` times the mean set size can exist, whatever the number of documents.  They
@@ -98,19 +111,53 @@ def heavy_shingles(docs: DataFrame, share: float = HEAVY_SHARE) -> np.ndarray:
     counts = docs.select("text").mapInArrow(_heavy_here, "shingle long, n long")
     limit = max(16, int(share * docs.count()))
     rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("shingle")
-    return np.sort(rows.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    return Heavy(rows.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def band(n: int) -> int:
+    """Sets of ``n`` shingles have ``2 ** band`` groups, so a group holds four at most on average."""
+    return max(LEAST_BAND, (max(n, 1) - 1).bit_length() - 2)
+
+
+def count_vector(shingles: np.ndarray, k: int) -> bytes:
+    """Counts in ``2 ** k`` groups, behind the width of a count in bytes: one for all but very uneven sets."""
+    counts = np.bincount((shingles >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    width = next(size for size in (1, 2, 4) if counts.max() < 1 << 8 * size)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def folded(vector: bytes, groups: int) -> np.ndarray:
+    """The counts in that many groups, or in all if there are fewer: each is a sum of neighbours."""
+    counts = np.frombuffer(vector, f"<u{vector[0]}", offset=1)
+    return counts.reshape(min(groups, len(counts)), -1).sum(1, dtype=np.int64)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, sign, points = [], [], []
-        for shingles in shingle_sets(batch.column("text")):
-            n.append(len(shingles))
-            sign.append(set_sign(shingles))
-            groups = (shingles >> np.uint64(20)) % np.uint64(GROUPS)
-            points.append(np.bincount(groups.astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
-        yield pa.record_batch({"node": batch.column("node"), "n": pa.array(n, pa.int64()), "sign": pa.array(sign, pa.int64()),
-                               "point": pa.array(points, pa.binary())})
+        for low, high in w.slices(batch.column("text")):
+            n, sign, bands, points, fine = [], [], [], [], []
+            for shingles in shingle_sets(batch.column("text").slice(low, high - low)):
+                k = band(len(shingles))
+                n.append(len(shingles))
+                sign.append(set_sign(shingles))
+                bands.append(min(k, TREE_BAND))
+                points.append(count_vector(shingles, bands[-1]))
+                fine.append(count_vector(shingles, k))
+            yield pa.record_batch({"node": batch.column("node").slice(low, high - low), "n": pa.array(n, pa.int64()),
+                                   "sign": pa.array(sign, pa.int64()), "band": pa.array(bands, pa.int64()),
+                                   "point": pa.array(points, pa.binary()), "fine": pa.array(fine, pa.binary())})
+
+
+def _finer(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bound keeps with all groups of the smaller of two bands."""
+    for batch in batches:
+        keep = []
+        for one, two in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist(), strict=True):
+            x, y = folded(one, 1 << 32), folded(two, 1 << 32)
+            size = min(len(x), len(y))
+            bound = int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+            keep.append((100 + percent) * bound >= percent * int(x.sum() + y.sum()))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], heavy, percent: int) -> Iterator[pa.RecordBatch]:
@@ -155,93 +202,111 @@ class CountTree:
         return self.order[at]
 
 
-def _pairs(node, size, label, points, percent: int, sides: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Candidate pairs at one meeting point.
-
-    Without labels (first round): each set with the first and with the one before it in order of size.
-    With labels: each pair of different labels that was not a candidate of the first round.
-    """
+def _first_pairs(node, size, points, percent: int) -> Iterator[tuple[int, int]]:
+    """For each set the first one of the cell, in order of size, or else the one before it."""
     order = np.lexsort((node, size))
-    node, size, points, label = node[order], size[order], points[order], label[order]
-    if sides is None:
-        one = np.arange(1, len(node))
-        for other in (np.zeros(len(one), np.int64), one - 1):
-            bound = np.minimum(points[one], points[other]).sum(1)
-            hit = ((100 + percent) * bound >= percent * (size[one] + size[other])) & (node[one] != node[other])
-            yield from zip(node[one[hit]].tolist(), node[other[hit]].tolist(), strict=True)
+    node, size, points = node[order], size[order], points[order]
+    one = np.arange(1, len(node))
+    for back in (False, True):
+        other = one - 1 if back else np.zeros(len(one), np.int64)
+        bound = np.minimum(points[one], points[other]).sum(1)
+        hit = (100 + percent) * bound >= percent * (size[one] + size[other])
+        yield from zip(node[one[hit]].tolist(), node[other[hit]].tolist(), strict=True)
+        one = one[~hit]
+        if not len(one):
+            return
+
+
+def _open_pairs(node, size, points, label, side, own, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different labels whose overlap may reach the similarity.
+
+    Pairs of one side of the cell, and of two sets that meet in a higher band, are left to other cells.
+    """
+    if len(node) <= LEAF:
+        i, j = np.triu_indices(len(node), 1)
+        ask = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (own[i] | own[j])
+        i, j = i[ask], j[ask]
+        bound = np.minimum(points[i], points[j]).sum(1)
+        hit = (100 + percent) * bound >= percent * (size[i] + size[j])
+        yield from zip(node[i[hit]].tolist(), node[j[hit]].tolist(), strict=True)
         return
-    side = sides[order]
     tree = CountTree(points, size, label)
     for i in range(len(node)):
-        for j in tree.search(points[i], size[i], label[i], percent):
-            if j > i + (side[i] == 2) and (side[i] != side[j] or side[i] == 2 and i > 0):
-                yield int(node[i]), int(node[j])
+        j = tree.search(points[i], size[i], label[i], percent)
+        j = j[(j > i) & ((side[i] != side[j]) | (side[i] == 2)) & (own[i] | own[j])]
+        yield from ((int(node[i]), x) for x in node[j].tolist())
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of each (token, cell) of a partition sorted by these."""
+    """Rows of each (token, cell, level) of a partition sorted by these, points folded to the level."""
     held: list[pa.RecordBatch] = []
-
-    def cut(table: pa.Table, whole: bool):
-        key = np.stack([table.column(c).to_numpy() for c in ("token", "cell")])
-        edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        edge = np.concatenate([[0], edge, [key.shape[1]]])
-        return edge if whole else edge[:-1]
-
     for batch in chain(batches, [None]):
         if batch is not None:
             held.append(batch)
         if not held:
             continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        edge = cut(table, batch is None)
-        if len(edge) > 1:
-            values = {c: table.column(c).to_numpy() for c in ("node", "n", "component", "side")}
-            point = table.column("point").combine_chunks()
-            point = point if isinstance(point, pa.Array) else point.chunk(0)
-            at = int(np.frombuffer(point.buffers()[1], np.int32)[point.offset])
-            dense = np.frombuffer(point.buffers()[2], "<u4", len(point) * GROUPS, at).reshape(-1, GROUPS).astype(np.int64)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a > 1:
-                    yield tuple(values[c][a:b] for c in ("node", "n", "component", "side")) + (dense[a:b],)
-        held = table.slice(edge[-1]).to_batches() if batch is not None else []
+        table = pa.Table.from_batches(held)
+        key = np.stack([table.column(c).to_numpy() for c in ("token", "cell", "level")])
+        edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [key.shape[1]]])
+        if batch is not None:
+            edge = edge[:-1]  # the last group may go on
+        values = {c: table.column(c).to_numpy() for c in ("node", "n", "component", "side", "band")}
+        point = table.column("point").to_pylist() if len(edge) > 1 else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b - a > 1:
+                level = int(key[2, a])
+                points = np.stack([folded(p, 1 << level) for p in point[a:b]])
+                yield tuple(values[c][a:b] for c in ("node", "n", "component", "side")) + (values["band"][a:b] == level, points)
+        held = table.slice(int(edge[-1])).to_batches() if batch is not None else []
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the set named by ``sign``."""
+    """Rows whose text has the set named by ``sign``, one of each run of them.
+
+    Rows of one document come together, so repeated rows do not multiply the pairs.
+    """
+    last = None
     for batch in batches:
-        signs = np.fromiter((set_sign(s) for s in shingle_sets(batch.column("text"))), np.int64, batch.num_rows)
-        yield batch.filter(pa.array(signs == batch.column("sign").to_numpy()))
+        keep = []
+        for shingles, sign in zip(shingle_sets(batch.column("text")), batch.column("sign").to_pylist(), strict=True):
+            keep.append(sign != last and set_sign(shingles) == sign)
+            last = sign if keep[-1] else last
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, again: bool) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for node, size, label, side, points in _groups(batches):
-        for x, y in _pairs(node, size, label, points, percent, side if again else None):
-            a.append(min(x, y))
-            b.append(max(x, y))
+    for node, size, label, side, own, points in _groups(batches):
+        for x, y in _open_pairs(node, size, points, label, side, own, percent) if again else _first_pairs(node, size, points, percent):
+            a.append(x)
+            b.append(y)
         if len(a) > 50_000:
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
             a, b = [], []
     yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cells(met: DataFrame, again: bool) -> DataFrame:
-    """Cut the sets that meet at one token into cells of bounded size.
+def _cells(met: DataFrame, percent: int, again: bool) -> DataFrame:
+    """Cut the sets that meet at one token into cells of bounded size and like sizes.
 
-    In the first round a cell is a part of the sets.  In the second, parts meet pair by pair, and
-    ``side`` says which of the two a set is from (2: a cell of one part).
+    A set meets those of its own band, and those of the band below if it is short enough to be
+    similar to one; two bands apart nothing is similar.  Where many meet, they are cut in parts: in
+    the first round a cell is one part, in the second the parts meet pair by pair, and ``side`` says
+    which of the two a set is from (2: a cell of one part).
     """
+    below = (F.col("band") > LEAST_BAND) & (F.col("n") * percent <= F.lit(100) * F.pow(F.lit(2.0), F.col("band") + 1))
+    levels = met.withColumn("level", F.explode(F.when(below, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))))
     parts = met.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > CELL).select(
         "token", F.ceil(F.col("held") / CELL).cast("long").alias("parts"))
-    cut = met.join(parts, "token", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)))
+    cut = levels.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    columns = ["token", "level", "node", "n", "band", "component", "point"]
     if not again:
-        return cut.select("token", F.col("part").alias("cell"), "node", "component", F.lit(2).cast("long").alias("side"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct(
-        (F.least(o, F.col("part")) * F.coalesce("parts", F.lit(1)) + F.greatest(o, F.col("part"))).alias("cell"),
+        return cut.select(*columns, F.col("part").alias("cell"), F.lit(2).cast("long").alias("side"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(
+        (F.least(o, F.col("part")) * F.col("parts") + F.greatest(o, F.col("part"))).alias("cell"),
         F.when(o == F.col("part"), 2).when(F.col("part") < o, 0).otherwise(1).cast("long").alias("side")))
-    return cut.select("token", "node", "component", F.explode(others).alias("c")).select("token", "c.cell", "node", "component", "c.side")
+    return cut.select(*columns, F.explode(others).alias("c")).select(*columns, "c.cell", "c.side")
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -253,16 +318,25 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _links(met: DataFrame, points: DataFrame, texts: DataFrame, percent: int, again: bool, label: str) -> DataFrame:
-    """Verified links among the sets that meet."""
+def _candidate_pairs(met: DataFrame, points: DataFrame, percent: int, again: bool) -> DataFrame:
+    """``a, b`` with a < b.  In the first round each set has one pair at most, with the least of its candidates."""
     tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _cells(met, again).join(points, "node")
-    pairs = rows.repartition(tasks, "token", "cell").sortWithinPartitions("token", "cell").mapInArrow(
-        partial(_candidates, percent=percent, again=again), "a long, b long")
-    pairs = stage(pairs.distinct(), f"{label}-pairs")
+    rows = _cells(met.join(points.drop("fine"), "node"), percent, again)
+    pairs = rows.repartition(tasks, "token", "cell", "level").sortWithinPartitions("token", "cell", "level").mapInArrow(
+        partial(_candidates, percent=percent, again=again), "a long, b long").distinct()
+    a = points.select(F.col("node").alias("a"), F.col("fine").alias("fine_a"))
+    b = points.select(F.col("node").alias("b"), F.col("fine").alias("fine_b"))
+    pairs = pairs.join(a, "a").join(b, "b").mapInArrow(partial(_finer, percent=percent), "a long, b long")
+    if not again:
+        pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose texts are similar."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return stage(pairs.join(a, "a").join(b, "b").mapInArrow(partial(_verified, percent=percent), "a long, b long").distinct(), label)
+    return pairs.join(a, "a").join(b, "b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, share: float = HEAVY_SHARE) -> DataFrame:
@@ -271,36 +345,39 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, share: float = H
     Documents link when 100 times the overlap of their sets is at least ``percent`` times their
     union; a component is named by its smallest ``doc_id``.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    profiles = stage(source.mapInArrow(_profiles, "node long, n long, sign long, point binary"), "jaccard-profiles")
+    profiles = stage(source.mapInArrow(_profiles, "node long, n long, sign long, band long, point binary, fine binary"), "jaccard-profiles")
     named = profiles.where("node is not null and n > 0")
     classes = stage(named.groupBy("sign").agg(F.min("node").alias("first")), "jaccard-classes")
 
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, share))
     meetings = source.where("node is not null").mapInArrow(
         partial(_meetings, heavy=heavy, percent=percent), "token long, sign long")
-    low, high = F.col("sign").bitwiseAND(2**31 - 1), F.xxhash64("sign").bitwiseAND(2**31 - 1)
     lists = meetings.groupBy("token").agg(
         F.min("sign").alias("least"), F.max("sign").alias("most"), F.count("*").alias("held"),
-        F.sum(low).alias("low"), F.sum(high).alias("high")).where("least < most")
+        F.sum(F.shiftrightunsigned("sign", 32)).alias("sum")).where("least < most")
     # tokens at which the same sets meet are one meeting point
-    points_of = stage(lists.groupBy("held", "low", "high").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
+    points_of = stage(lists.groupBy("held", "least", "most", "sum").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
     met = stage(meetings.join(points_of, "token").select("token", F.col("sign").alias("node")).distinct(), "jaccard-met")
 
     # from here on a set stands for its documents, and its sign is its node
     live = stage(met.select("node").distinct().join(classes.withColumnRenamed("sign", "node"), "node"), "jaccard-live")
-    points = stage(named.select(F.col("sign").alias("node"), "n", "point").join(live, "node", "left_semi").groupBy("node").agg(
-        F.min("n").alias("n"), F.min("point").alias("point")), "jaccard-points")
+    points = stage(named.select(F.col("sign").alias("node"), "n", "band", "point", "fine").join(live, "node", "left_semi").groupBy("node").agg(
+        F.min("n").alias("n"), F.min("band").alias("band"), F.min("point").alias("point"), F.min("fine").alias("fine")), "jaccard-points")
     texts = source.join(live.select(F.col("first").alias("node"), F.col("node").alias("sign")), "node").select("sign", "text")
-    texts = stage(texts.mapInArrow(_own_texts, "sign long, text string").select(F.col("sign").alias("node"), "text").distinct(), "jaccard-texts")
+    texts = stage(texts.mapInArrow(_own_texts, "sign long, text string").select(F.col("sign").alias("node"), "text"), "jaccard-texts")
 
-    first = _links(met.withColumn("component", F.col("node")), points, texts, percent, False, "jaccard-first")
+    tried = stage(_candidate_pairs(met.withColumn("component", F.col("node")), points, percent, False), "jaccard-pairs")
+    first = stage(_links(tried, texts, percent), "jaccard-links")
     known = stage(components(first), "jaccard-known")
     open_ = met.join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    several = stage(open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("held"))
-                    .where("x < y and held > 2").select("token"), "jaccard-open")
-    second = _links(open_.join(several, "token"), points, texts, percent, True, "jaccard-second")
+    several = stage(open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                    .where("x < y").select("token"), "jaccard-open")
+    rest = _candidate_pairs(open_.join(several, "token"), points, percent, True).join(tried, ["a", "b"], "left_anti")
+    second = stage(_links(stage(rest, "jaccard-pairs"), texts, percent), "jaccard-links")
     found = components(first.unionByName(second)).withColumnRenamed("node", "sign").join(classes, "sign")
     found = stage(found, "jaccard-components")
     heads = found.groupBy("component").agg(F.min("first").alias("head"))
@@ -310,3 +387,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, share: float = H
     rows = own.where("n > 0 and node is not null").join(ids, "sign").select("node", "n", "component")
     rest = own.where("n = 0 or node is null").select("node", "n", F.col("node").alias("component"))
     return rows.unionByName(rest).select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def twin(percent: int = PERCENT) -> str:
+    """The same rows in DuckDB SQL, on shingles as text and links spelled out; for unique ids."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS p FROM d WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + {SHINGLE - 1}], ' ') AS k FROM places),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= {percent} * (na.n + nb.n - shared)),
+    sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+    JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
