@@ -51,12 +51,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_documents(spark, sf_dir), digest=True)
 
 
+TWINS["op7_substring_dedup"] = repeats.twin()
+
+
 @_register
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets are at least three quarters alike."""
     return jaccard.jaccard_components(_documents(spark, sf_dir))
 
 
+TWINS["op8_jaccard_join"] = jaccard.twin()
+
+
 @_register
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""

@@ -159,3 +159,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     rows = source.join(known, source.ord == known.known_ord, "left").select("doc_id", "text", "known")
     last = "kept_sha256 string" if digest else "text string"
     return rows.mapInArrow(partial(_removal, window=window, digest=digest), f"doc_id long, n_words long, n_removed long, {last}")
+
+
+def twin(window: int = WINDOW) -> str:
+    """The digests of ``remove_repeats`` in DuckDB SQL, on windows as text."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS ord,
+            list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        places AS (SELECT r, ord, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+        wins AS (SELECT r, ord, p, array_to_string(w[p:p + {window - 1}], ' ') AS k FROM places WHERE p + {window - 1} <= len(w)),
+        seen AS (SELECT k, min(ord) AS first FROM wins GROUP BY k),
+        hits AS (SELECT r, unnest(range(p, p + {window})) AS p FROM wins JOIN seen USING (k) WHERE first < ord),
+        gone AS (SELECT DISTINCT r, p FROM hits),
+        kept AS (SELECT r, string_agg(w[p], ' ' ORDER BY p) AS text, count(*) AS n FROM places ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)"""
