@@ -9,11 +9,12 @@ reordered passages count as well.  A document is contaminated when its tiles cov
 item's words.
 
 The benchmark is the query set: it is cut into blocks of ``BLOCK_WORDS`` words, each broadcast, and
-every block meets all documents where these are scanned.  No shuffle of documents, whatever passage
+every block meets all documents where these are scanned; each row carries its best item from block to
+block, so the number of blocks changes no result.  No shuffle of documents, whatever passage
 many of them share.
 
 Defined results: a null or empty text has no tiles (item null, coverage 0); of items covered alike
-the smallest id is named; items without text, or with fewer words than a match, cannot be found;
+the smallest id is named, and of its texts covered alike the longest; items without text, or with fewer words than a match, cannot be found;
 items without id are left out; repeated rows give repeated results.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ class Items:
         values = np.unique(seeds)
         low, high = np.searchsorted(self.seed, values), np.searchsorted(self.seed, values, side="right")
         rows = np.concatenate([np.arange(i, j) for i, j in zip(low, high, strict=True)])
-        best = (0.0, 0, None, 0, 0)
+        best = None
         for item in np.unique(self.item[rows]).tolist():
             own = self.words[item]
             reach = np.zeros(len(own) + 1, np.int64)
@@ -126,13 +127,17 @@ class Items:
             np.add.at(reach, start, 1)
             np.add.at(reach, start + self.match, -1)
             possible = int((np.cumsum(reach[:-1]) > 0).sum())
-            if possible < coverage * len(own) or possible / len(own) < best[0]:
+            if possible < coverage * len(own) or best and possible / len(own) < best[1] / best[2]:
                 continue
-            covered = sum(t[0] for t in tile(own, words, self.match))
-            key = (covered / len(own), -self.ids[item])
-            if best[2] is None or key > (best[0], best[1]):
-                best = (*key, self.ids[item], covered, len(own))
-        return best[2:]
+            found = (self.ids[item], sum(t[0] for t in tile(own, words, self.match)), len(own))
+            if best is None or _rank(*found) > _rank(*best):
+                best = found
+        return best or (None, 0, 0)
+
+
+def _rank(item: int, covered: int, size: int) -> tuple[float, int, int]:
+    """The larger, the better the item: share covered, then the smaller id, then the longer text."""
+    return covered / size, -item, size
 
 
 def _near_seeds(values: np.ndarray, hit: np.ndarray, match: int) -> np.ndarray:
@@ -166,9 +171,14 @@ def _tiled(texts: pa.Array, items: Items, coverage: float) -> list[tuple[int | N
 
 
 def _judged(batches: Iterator[pa.RecordBatch], items, coverage: float) -> Iterator[pa.RecordBatch]:
+    """The rows with the best item of this block and those before it."""
     for batch in batches:
-        item, covered, size = zip(*_tiled(batch.column("text"), items.value, coverage), strict=True) if batch.num_rows else ((), (), ())
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "item_id": pa.array(item, pa.int64()),
+        best = list(zip(*[batch.column(c).to_pylist() for c in ("item_id", "n_covered", "n_item_words")], strict=True))
+        for i, (item, covered, size) in enumerate(_tiled(batch.column("text"), items.value, coverage)):
+            if item is not None and covered >= coverage * size and (best[i][0] is None or _rank(item, covered, size) > _rank(*best[i])):
+                best[i] = (item, covered, size)
+        item, covered, size = zip(*best, strict=True) if best else ((), (), ())
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "item_id": pa.array(item, pa.int64()),
                                "n_covered": pa.array(covered, pa.int64()), "n_item_words": pa.array(size, pa.int64())})
 
 
@@ -197,24 +207,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, mat
 
     The item is the one whose words are covered best, of those that reach ``coverage``; else null.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, n_covered long, n_item_words long"
-    found = [source.mapInArrow(partial(_judged, items=block, coverage=coverage), schema) for block in _blocks(benchmark, match, block_words)]
-    none = F.lit(None).cast("long")
-    if not found:
-        return source.select("doc_id", none.alias("item_id"), F.lit(0).cast("long").alias("n_covered"),
-                             F.lit(0).cast("long").alias("n_item_words"), F.lit(False).alias("contaminated"))
-    hit = F.col("n_covered") >= coverage * F.col("n_item_words")
-    rows = [f.select("doc_id", F.when(hit, F.col("item_id")).alias("item_id"), F.when(hit, F.col("n_covered")).otherwise(0).alias("n_covered"),
-                     F.when(hit, F.col("n_item_words")).otherwise(0).alias("n_item_words")) for f in found]
-    if len(rows) == 1:
-        out = rows[0]
-    else:  # several blocks: the best of each document's rows
-        share = F.try_divide("n_covered", "n_item_words")
-        out = reduce(DataFrame.unionByName, rows).groupBy("doc_id").agg(F.max_by(
-            F.struct("item_id", "n_covered", "n_item_words"), F.struct(F.coalesce(share, F.lit(0.0)), -F.col("item_id"))).alias("best"))
-        out = out.select("doc_id", "best.*")
-    return out.select("*", F.col("item_id").isNotNull().alias("contaminated"))
+    zero = F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("item_id"),
+                       zero.alias("n_covered"), zero.alias("n_item_words"))
+    for block in _blocks(benchmark, match, block_words):
+        rows = rows.mapInArrow(partial(_judged, items=block, coverage=coverage),
+                               "doc_id long, text string, item_id long, n_covered long, n_item_words long")
+    return rows.select("doc_id", "item_id", "n_covered", "n_item_words", F.col("item_id").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, match: int = MATCH,
