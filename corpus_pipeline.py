@@ -29,9 +29,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id; all that link with nothing stay."""
-    found = jaccard.jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    """One row of each component: the one with the smallest id, rows without id last, then by a hash of the text.
+
+    Rows are told apart by a hash of id and text, so texts that share an id, or have none, link and go each
+    by itself.  Of rows alike in id and text one stays.  What links with nothing stays, so do texts without words.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = jaccard.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__component")).distinct()
+    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("__id"), F.count("*").alias("__n"))
+    rows = stage(found.join(ids, "__key"), "pipeline-rows")
+    heads = stage(rows.groupBy("__component").agg(
+        F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__head"), F.sum("__n").alias("__all"))
+        .where("__all > 1").select("__component", F.col("__head.__key").alias("__kept")), "pipeline-heads")
+    judged = rows.join(heads, "__component")
+    gone = judged.where("__key <> __kept or __n > 1").select("__key")
+    again = judged.where("__key = __kept and __n > 1").select("__key")
+    one = keyed.join(again, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__one"))
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns).unionByName(one.select("__one.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
