@@ -10,10 +10,11 @@ of a type are equal, or one equals an entity, all but the first draw again until
 DataFrame functions only.
 
 Entities are gathered once per distinct surface, joined with their surrogates from a written table,
-and brought back as one small map per document; the text itself is shuffled once.
+and brought back as one small map per text, so a map never outgrows one text however many rows have no
+id or share one; the text itself is shuffled once.
 
 Defined results: a null text stays null; a text without entities stays as it is; a blank key is
-refused; rows that share a ``doc_id`` get the surrogates of all of them, each in its own text.
+refused; rows that share a ``doc_id`` are treated each by its own text.
 """
 
 from __future__ import annotations
@@ -157,9 +158,14 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         tries = stage(judged.select("kind", "entity", (F.col("tries") + F.col("clash").cast("int")).alias("tries")), "private-tries")
 
 
+def _row(docs: DataFrame) -> Column:
+    """A hash that tells rows apart by id and text; where two rows agree in it, they share a larger map."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """``id, kind, surface, entity``, distinct per document."""
-    hits = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+    """``row, kind, surface, entity``, distinct per row."""
+    hits = docs.select(_row(docs).alias("row"),
                        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("surface"))
     hits = hits.withColumn("kind", kind_of(F.col("surface"))).where("kind is not null")
     return hits.withColumn("entity", plain(F.col("kind"), F.col("surface")))
@@ -171,9 +177,9 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
         raise ValueError("the key must not be blank")
     found = stage(_found(docs), "private-found")
     signs = surrogates(found.select("kind", "entity").distinct(), key)
-    named = found.join(signs, ["kind", "entity"]).select("id", "surface", shown(F.col("kind"), F.col("surface"), F.col("sign")).alias("shown"))
-    maps = named.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("surface", "shown"))).alias("__shown")).withColumnRenamed("id", "__id")
-    rows = docs.join(maps, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == maps["__id"], "left")
+    named = found.join(signs, ["kind", "entity"]).select("row", "surface", shown(F.col("kind"), F.col("surface"), F.col("sign")).alias("shown"))
+    maps = named.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("surface", "shown"))).alias("__shown")).withColumnRenamed("row", "__row")
+    rows = docs.join(maps, _row(docs) == maps["__row"], "left")
     text = docs["text"]
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     new = F.transform(hits, lambda h: F.coalesce(F.element_at(maps["__shown"], h), h))

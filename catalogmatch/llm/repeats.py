@@ -9,6 +9,9 @@ Defined results: a null or empty text has no words; a document without ``doc_id`
 than every other and not as earlier than its like; rows with one ``doc_id`` are one document for the
 comparison and keep their own texts; a window repeated only inside one document stays.  Windows are
 compared by 64-bit hashes.
+
+Lists of repeated parts are gathered by id, but by text (``row``) where rows have no id or an id has
+more than ``SHARED`` of the rows (and over ``FEW``), so no list grows with the rows of one id.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from catalogmatch.llm import words as w
 from catalogmatch.llm.staging import LAST, stage
 
 WINDOW = 13
+SHARED, FEW = 0.00001, 100  # of these ids there are at most 100,000, so their list is broadcast
 
 
 def lengths(window: int) -> list[int]:
@@ -59,9 +63,10 @@ def _named_parts(x: w.Words, window: int, length: int) -> tuple[np.ndarray, np.n
 
 
 def _emit(batches: Iterator[pa.RecordBatch], window: int, before: int | None, length: int) -> Iterator[pa.RecordBatch]:
-    """(part, ord) of the parts of ``length`` words that windows name, where those of the level before survived."""
+    """(part, ord, row) of the parts of ``length`` words that windows name, where those of the level before survived."""
     for batch in batches:
-        texts, order = batch.column("text"), batch.column("ord").to_numpy(zero_copy_only=False)
+        texts = batch.column("text")
+        order, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "row"))
         for low, high in w.slices(texts):
             x = w.split(texts.slice(low, high - low))
             _, text, value = _named_parts(x, window, length)
@@ -71,7 +76,7 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, before: int | None, le
                 text, value = text[keep], value[keep]
             new = np.ones(len(value), bool)
             new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-            yield pa.record_batch({"part": value[new].view(np.int64), "ord": order[low:high][text[new]]})
+            yield pa.record_batch({"part": value[new].view(np.int64), "ord": order[low:high][text[new]], "row": row[low:high][text[new]]})
 
 
 def _compact(lists: pa.Array, low: int, high: int) -> pa.Array:
@@ -89,28 +94,38 @@ def _repeated(parts: DataFrame) -> DataFrame:
 
 
 def _known(parts: DataFrame, repeated: DataFrame, later: bool = False) -> DataFrame:
-    """Per document the list of its repeated parts; ``later`` leaves out those it is the first to have."""
+    """``ord, row, known``: per text its repeated parts; ``later`` leaves out those its document is the first to have."""
     hit = parts.join(repeated, "part")
     if later:
         hit = hit.where("first < ord")
-    return hit.groupBy("ord").agg(F.collect_set("part").alias("known"))
+    return hit.groupBy("ord", "row").agg(F.collect_set("part").alias("known"))
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the place ``ord`` in the order of documents, and ``text``."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), "text")
+    """``doc_id``, the place ``ord`` in the order of documents, ``row`` and ``text``.
+
+    ``row`` is 0, and a hash of the text for rows without id or with an id that many have.  Where texts
+    of one place agree in it, they share a list, which changes nothing: whether a part repeats, or is a
+    later one, hangs on part and place only.
+    """
+    counts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__shared")).count()
+    shared = stage(counts.where(F.col("count") > max(FEW, int(SHARED * docs.count()))).select("__shared"), "repeats-shared")
+    rows = docs.select("doc_id", "text").join(F.broadcast(shared), F.col("doc_id") == F.col("__shared"), "left")
+    apart = F.col("doc_id").isNull() | F.col("__shared").isNotNull()
+    return rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
+                       F.when(apart, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("row"), "text")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``ord, known``: per document the hashes of its windows that also start in an earlier document.
+def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``ord, row, known``: per text of ``ordered`` the hashes of its windows that also start in an earlier document.
 
-    Every level is one aggregation, with partial sums, and one join back to the documents that have
+    Every level is one aggregation, with partial sums, and one join back to the texts that have
     a repeated part; no group of documents is ever gathered.
     """
-    source, before, known = ordered(docs), None, None
+    before, known = None, None
     for length in lengths(window):
-        rows = source if known is None else source.join(known, "ord")
-        parts = rows.mapInArrow(partial(_emit, window=window, before=before, length=length), "part long, ord long")
+        rows = source if known is None else source.join(known, ["ord", "row"])
+        parts = rows.mapInArrow(partial(_emit, window=window, before=before, length=length), "part long, ord long, row long")
         repeated = stage(_repeated(parts), f"repeats-{length}")
         known = _known(parts, repeated, later=length == window)
         before = length
@@ -154,9 +169,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     A word goes if a window of ``window`` words that covers it also starts in an earlier document.
     ``digest`` gives ``kept_sha256`` in place of the text.
     """
-    known = repeated_windows(docs, window).withColumnRenamed("ord", "known_ord")
     source = ordered(docs)
-    rows = source.join(known, source.ord == known.known_ord, "left").select("doc_id", "text", "known")
+    known = repeated_windows(source, window).withColumnsRenamed({"ord": "known_ord", "row": "known_row"})
+    rows = source.join(known, (source.ord == known.known_ord) & (source.row == known.known_row), "left").select("doc_id", "text", "known")
     last = "kept_sha256 string" if digest else "text string"
     return rows.mapInArrow(partial(_removal, window=window, digest=digest), f"doc_id long, n_words long, n_removed long, {last}")
 
