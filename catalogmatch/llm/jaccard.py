@@ -339,6 +339,14 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
 
+def meeting_points(meetings: DataFrame) -> DataFrame:
+    """``token``: one for all tokens at which the same sets meet."""
+    lists = meetings.groupBy("token").agg(
+        F.min("sign").alias("least"), F.max("sign").alias("most"), F.count("*").alias("held"),
+        F.sum(F.shiftrightunsigned("sign", 32)).alias("high"), F.sum(F.col("sign").bitwiseAND(F.lit(2**32 - 1))).alias("low")).where("least < most")
+    return lists.groupBy("held", "least", "most", "high", "low").agg(F.min("token").alias("token")).select("token")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, share: float = HEAVY_SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row for each row of ``docs``.
 
@@ -356,11 +364,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, share: float = H
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, share))
     meetings = source.where("node is not null").mapInArrow(
         partial(_meetings, heavy=heavy, percent=percent), "token long, sign long")
-    lists = meetings.groupBy("token").agg(
-        F.min("sign").alias("least"), F.max("sign").alias("most"), F.count("*").alias("held"),
-        F.sum(F.shiftrightunsigned("sign", 32)).alias("sum")).where("least < most")
-    # tokens at which the same sets meet are one meeting point
-    points_of = stage(lists.groupBy("held", "least", "most", "sum").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
+    points_of = stage(meeting_points(meetings), "jaccard-tokens")
     met = stage(meetings.join(points_of, "token").select("token", F.col("sign").alias("node")).distinct(), "jaccard-met")
 
     # from here on a set stands for its documents, and its sign is its node
