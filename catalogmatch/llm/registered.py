@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm import bpe, decontaminate, jaccard, lines, pack, private, quality, repeats, shards, urls
+from catalogmatch.llm import bpe, decontaminate, jaccard, lines, pack, phrases, private, quality, ranked, repeats, shards, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,21 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, packed into rows of 2048."""
     return pack.pack(_documents(spark, sf_dir), byte_bpe_path())
+
+
+@_register
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+TWINS["op12_ranked_search"] = ranked.twin()
+
+
+@_register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
+TWINS["op13_collocations"] = phrases.twin()
