@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.llm import bpe, decontaminate, jaccard, lines, pack, phrases, private, quality, ranked, repeats, shards, urls
+from catalogmatch.llm import bpe, decontaminate, jaccard, lines, pack, phrases, private, quality, ranked, repeats, shards, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,9 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TWINS["op13_collocations"] = phrases.twin()
+
+
+@_register
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that also start anywhere else."""
+    return suffixes.remove_repeated_bytes(_documents(spark, sf_dir), digest=True)
