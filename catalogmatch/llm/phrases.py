@@ -33,9 +33,10 @@ from catalogmatch.llm import words as w
 from catalogmatch.llm.letters import table, translate
 from catalogmatch.llm.staging import stage
 
-SHARDS = 3
+SHARDS = 2
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
 HELD = 1 << 22  # hashes counted together in a task
+GROUPS = 1024  # of documents; each phrase remembers one that has it, to be spelled from
 _LETTERS = table(b"", b".,;:!?\x0b\x0c\r")
 
 
@@ -68,21 +69,34 @@ def _both(part: np.ndarray) -> np.ndarray:
     return part[:-1] & part[1:]
 
 
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+
+
 def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Iterator[pa.RecordBatch]:
-    """``h, c``: the active phrases of a shard.  ``now`` and ``before`` are the bitmaps of this step and one cycle ago."""
+    """``h, c, g``: the active phrases of a shard, their counts and a group of documents that has them.
+
+    ``now`` and ``before`` are the bitmaps of this step and one cycle ago.
+    """
     now, before = (None if x is None else x.value for x in (now, before))
     held: list[np.ndarray] = []
+    groups: list[np.ndarray] = []
+
+    def hold(h: np.ndarray, at: np.ndarray) -> None:
+        held.append(h)
+        groups.append(at.astype(np.int16))
 
     def counted() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch({"h": h.view(np.int64), "c": c.astype(np.int64)})
+        h, first, c = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+        return pa.record_batch({"h": h.view(np.int64), "c": c.astype(np.int64), "g": np.concatenate(groups)[first].astype(np.int32)})
 
     for batch in batches:
-        texts, langs = batch.column("text"), batch.column("lang").to_numpy(zero_copy_only=False).view(np.uint64)
+        texts, (langs, group) = batch.column("text"), _columns(batch, "lang", "group")
         for low, high in w.slices(texts):
-            x = _Phrases(texts.slice(low, high - low), langs[low:high])
+            x = _Phrases(texts.slice(low, high - low), langs[low:high].view(np.uint64))
+            own = group[low:high][x.text]
             if words:
-                held.append(x.of[1])
+                hold(x.of[1], own)
             if now is not None and len(x.of[1]):
                 among, old = x.inside[1], None
                 for n in range(1, LONGEST):
@@ -91,33 +105,37 @@ def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Itera
                     if len(known) < 2:
                         break
                     among = x.inside[n + 1] & _both(known)
-                    held.append(x.of[n + 1][among if old is None else among & ~_both(old)])
+                    active = among if old is None else among & ~_both(old)
+                    hold(x.of[n + 1][active], own[:len(active)][active])
             if sum(map(len, held)) >= HELD:
                 yield counted()
-                held = []
+                held, groups = [], []
     if held:
         yield counted()
 
 
 def _source(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang"), F.lit("und"))
-    return docs.select(F.xxhash64(lang).alias("lang"), lang.alias("name"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS)).alias("shard"), "text")
+    return docs.select(F.xxhash64(lang).alias("lang"), lang.alias("name"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(GROUPS)).cast("int").alias("group"), "text")
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
-    """``h, c``: all phrases of up to four words met ``least`` times, with their counts; and the number of scans."""
+    """``h, c, g``: all phrases of up to four words met ``least`` times, their counts, and a group that has them.
+
+    Also the number of scans.
+    """
     spark, source = docs.sparkSession, _source(docs)
     done, live, sizes, maps, step = [], None, [0], [None], 0
     while step < SHARDS or sizes[step] != sizes[step - SHARDS]:
         before = maps[step - SHARDS] if step >= SHARDS else None
-        found = source.where(F.col("shard") == step % SHARDS).select("lang", "text").mapInArrow(
-            partial(_count, now=maps[step], before=before, words=step < SHARDS), "h long, c long")
+        found = source.where(F.col("group") % SHARDS == step % SHARDS).select("lang", "group", "text").mapInArrow(
+            partial(_count, now=maps[step], before=before, words=step < SHARDS), "h long, c long, g int")
         found = found.withColumn("step", F.lit(step))
         every = found if live is None else found.unionByName(live)
-        counts = stage(every.groupBy("h").agg(F.sum("c").alias("c"), F.min("step").alias("step")), f"phrases-{step}")
+        counts = stage(every.groupBy("h").agg(F.sum("c").alias("c"), F.min("g").alias("g"), F.min("step").alias("step")), f"phrases-{step}")
         over = counts.where(F.col("step") <= step - SHARDS + 1).where(F.col("c") >= least)
         live = counts.where(F.col("step") > step - SHARDS + 1)
-        done.append(over.select("h", "c"))
+        done.append(over)
         often = counts.where(F.col("c") >= least).where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1).select("h")
         gone = sum(x.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1).count() for x in done[:-1])
         sizes.append(gone + often.count())
@@ -126,27 +144,32 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
         last = maps[step].value if maps[step] is not None else np.zeros(size // 8, np.uint8)
         maps.append(spark.sparkContext.broadcast(last | bits.bitmap(often, "h", size)))
         step += 1
-    out = live.where(F.col("c") >= least).select("h", "c")
+    out = live.where(F.col("c") >= least)
     for x in done:
         out = out.unionByName(x)
-    return stage(out, "phrases-frequent"), step
+    return stage(out.select("h", "c", "g"), "phrases-frequent"), step
 
 
 def _spell(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
-    """Text and parts of each candidate that a task meets, and its number of words for each language (``h`` null)."""
+    """Text and parts of each candidate that a task meets, and its number of words for each language (``h`` null).
+
+    A candidate is spelled from the one group of documents that it remembers.
+    """
     seen, totals = np.zeros(0, np.uint64), {}
     for batch in batches:
-        texts, langs = batch.column("text"), batch.column("lang").to_numpy(zero_copy_only=False).view(np.uint64)
+        texts, (langs, group) = batch.column("text"), _columns(batch, "lang", "group")
         names = batch.column("name").to_pylist()
         for low, high in w.slices(texts):
-            x = _Phrases(texts.slice(low, high - low), langs[low:high])
+            x = _Phrases(texts.slice(low, high - low), langs[low:high].view(np.uint64))
             for i, n in enumerate(x.words.counts.tolist()):
                 if n:
                     totals[names[low + i]] = totals.get(names[low + i], 0) + n
             for n in range(2, LONGEST + 1):
                 if len(x.of[1]) < n:
                     break
-                at = np.flatnonzero(x.within(n, candidates.value, x.inside[n]))
+                own = group[low:high][x.text[:len(x.of[n])]].astype(np.uint64)
+                at = np.flatnonzero(x.inside[n])
+                at = at[bits.member(candidates.value, x.of[n][at] ^ (own[at] << np.uint64(2)) ^ (own[at] << np.uint64(33)))]
                 h, first = np.unique(x.of[n][at], return_index=True)
                 fresh = ~np.isin(h, seen, assume_unique=True)
                 h, at = h[fresh], at[first[fresh]]
@@ -186,12 +209,13 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     spark = docs.sparkSession
     counts, _ = frequent(docs, least)
     long = counts.where(F.col("h").bitwiseAND(F.lit(3)) > 0)
-    wanted = spark.sparkContext.broadcast(bits.bitmap(long.select("h"), "h", bits.size_for(long.count())))
+    with_group = F.col("h").bitwiseXOR(F.shiftleft(F.col("g").cast("long"), 2)).bitwiseXOR(F.shiftleft(F.col("g").cast("long"), 33))
+    wanted = spark.sparkContext.broadcast(bits.bitmap(long.select(with_group.alias("h")), "h", bits.size_for(long.count())))
     columns = "h long, name string, phrase string, n long, l1 long, r1 long, l2 long, r2 long, l3 long, r3 long"
-    spelled = stage(_source(docs).select("lang", "name", "text").mapInArrow(partial(_spell, candidates=wanted), columns), "phrases-spelled")
+    spelled = stage(_source(docs).select("lang", "name", "group", "text").mapInArrow(partial(_spell, candidates=wanted), columns), "phrases-spelled")
     words = spelled.where("h is null").groupBy("name").agg(F.sum("n").alias("n"))
     same = [F.min(c).alias(c) for c in ("name", "phrase", "l1", "r1", "l2", "r2", "l3", "r3")]
-    found = stage(spelled.where("h is not null").groupBy("h").agg(*same).join(long, "h"), "phrases-found")
+    found = stage(spelled.where("h is not null").groupBy("h").agg(*same).join(long.select("h", "c"), "h"), "phrases-found")
     cuts = found.select("h", "c", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("first"), F.col(f"r{k}").alias("rest")) for k in (1, 2, 3)])).alias("cut"))
     cuts = cuts.select("h", "c", "cut.*").where("first is not null")
