@@ -5,16 +5,26 @@ names behind a title.  Every entity of the corpus, in a plain form without case
 one surrogate, made from a keyed hash, so it reads the same wherever the entity stands.  It keeps the
 type, the script, the gender a title tells, the case and the separators of what it replaces.
 
+The first and the family name behind a title are entities of their own, so ``Dr Anna Berg`` and
+``Dr Berg`` keep one family name, and two people of one family do.  In a text that names somebody
+behind a title the parts are replaced wherever else they stand as a capitalised word.  Scripts are
+Latin, Cyrillic and Greek; names in others get Latin ones.
+
 Distinct entities get distinct surrogates, none of them an entity of the corpus: where two surrogates
-of a type are equal, or one equals an entity, all but the first draw again until none is left.
+of a type are equal, or one equals an entity, all but the first draw again until none is left.  From the
+draw after ``NARROW`` on a surrogate gets one more letter, digit, number or syllable each time than the
+format has.  So a format whose every value is an entity (``d@d.com``) is left for a longer one: the
+values of a length grow with it without bound and the entities do not, so the draws come to an end.
 DataFrame functions only.
 
 Entities are gathered once per distinct surface, joined with their surrogates from a written table,
-and brought back as one small map per text, so a map never outgrows one text however many rows have no
+and brought back as small maps per text, so a map never outgrows one text however many rows have no
 id or share one; the text itself is shuffled once.
 
 Defined results: a null text stays null; a text without entities stays as it is; a blank key is
-refused; rows that share a ``doc_id`` are treated each by its own text.
+refused; rows that share a ``doc_id`` are treated each by its own text, repeated rows alike; an empty
+table gives no rows; columns named like those used inside stay as they are, but for ``n_entities``, which
+is replaced.  The whole of a text is searched; a row costs memory in proportion to its text.
 """
 
 from __future__ import annotations
@@ -25,6 +35,7 @@ from pyspark.sql import functions as F
 from catalogmatch.llm.staging import stage
 
 KEY = "catalogmatch surrogates"
+NARROW = 3  # tries within the format of an entity, before it is widened
 
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
@@ -39,7 +50,12 @@ FIRST = {("f", "latin"): ("Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "
          ("n", "latin"): ("Alexis", "Andrea", "Camille", "Dominique", "Kim", "Nicola", "Robin", "Sascha"),
          ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"),
          ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Роман"),
-         ("n", "cyrillic"): ("Валя", "Женя", "Мика", "Паша", "Саша", "Слава", "Шура", "Юля")}
+         ("n", "cyrillic"): ("Валя", "Женя", "Мика", "Паша", "Саша", "Слава", "Шура", "Юля"),
+         ("f", "greek"): ("Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"),
+         ("m", "greek"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος"),
+         ("n", "greek"): ("Άγγελα", "Αριστέα", "Δανάη", "Θέμις", "Ιάσων", "Ρένα", "Τόνια", "Φάνης")}
+# ---- fixed values: letters of made-up names, consonants then vowels, by script ----
+SYLLABLES = {"latin": ("bdfgklmnprst", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστφ", "αειου")}
 # ---- fixed values: patterns of entities, the first that fits names the type ----
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
@@ -54,6 +70,8 @@ PATTERNS = (
 # ---- end of fixed values ----
 
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: a capitalised word, which may be part of a name found elsewhere in the text; ``Berg's`` gives ``Berg``
+_WORD = _START + r"\p{Lu}[\p{L}-]*+(?:['’]\p{Lu}[\p{L}-]*+)*+" + _END
 _TITLE = "^(" + "|".join(t for titles in TITLES.values() for t in titles) + r")\.? "
 
 
@@ -66,13 +84,27 @@ def kind_of(surface: Column) -> Column:
 
 
 def plain(kind: Column, surface: Column) -> Column:
-    """The form all spellings of an entity share; names keep gender and script apart."""
+    """The forms that all spellings of an entity share: one, or for a name one for each part.
+
+    A part is its role, the gender of a first name, the script, and the word.
+    """
     title = F.regexp_extract(surface, _TITLE, 1)
     gender = F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
-    name = F.regexp_replace(surface, _TITLE, "")
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return (F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(surface, r"\D", ""))
-            .when(kind == "name", F.concat_ws(":", gender, script, F.lower(name))).otherwise(F.lower(surface)))
+    names = F.split(F.lower(F.regexp_replace(surface, _TITLE, "")), " ")
+
+    def part(role: str, sex: Column, word: Column) -> Column:
+        script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+        return F.concat_ws(":", F.lit(role), sex, script, word)
+
+    family = part("family", F.lit(""), F.element_at(names, -1))
+    parts = F.when(F.size(names) > 1, F.array(part("given", gender, names[0]), family)).otherwise(F.array(family))
+    return (F.when(kind.isin("card", "ssn", "phone"), F.array(F.regexp_replace(surface, r"\D", "")))
+            .when(kind == "name", parts).otherwise(F.array(F.lower(surface))))
+
+
+def value(kind: Column, entity: Column) -> Column:
+    """What of an entity is seen in a text: the word of a name, else all."""
+    return F.when(kind == "name", F.element_at(F.split(entity, ":"), -1)).otherwise(entity)
 
 
 def _draws(kind: Column, entity: Column, tries: Column, key: str) -> Column:
@@ -100,40 +132,62 @@ def _letters(draws: Column, text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), other), "")
 
 
+def _syllable(draws: Column, onsets: str, vowels: str):
+    """The ``i``-th syllable of a name."""
+    def pick(letters: str, byte: Column, turn: Column) -> Column:
+        return F.substr(F.lit(letters), F.pmod(byte + turn, F.lit(len(letters))) + 1, F.lit(1))
+
+    def one(i: Column) -> Column:
+        turn = F.floor(i / 16).cast("int")  # the bytes come round after 16 syllables
+        return F.concat(pick(onsets, _byte(draws, 2 * i), turn), pick(vowels, _byte(draws, 2 * i + 1), turn))
+
+    return one
+
+
 def surrogate(kind: Column, entity: Column, tries: Column, key: str) -> Column:
     """Plain form of the surrogate of an entity, from the key and the number of tries."""
     draws = _draws(kind, entity, tries, key)
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.pmod(_byte(draws, i), F.lit(10)).cast("string")), "")
-    hexes = F.substr(F.concat(draws, F.reverse(draws)), F.lit(1), F.length(entity))
-    ip = F.concat_ws(".", *[(F.pmod(_byte(draws, 2 * i) * 256 + _byte(draws, 2 * i + 1), F.lit(254)) + 1).cast("string") for i in range(4)])
+    wider = F.greatest(tries - F.lit(NARROW), F.lit(0))
+
+    def each(count: Column, make) -> Column:
+        return F.transform(F.sequence(F.lit(1), count), make)
+
+    digits = F.array_join(each(F.length(entity) + wider, lambda i: F.pmod(_byte(draws, i) + i, F.lit(10)).cast("string")), "")
+    hexes = F.substr(F.concat(draws, F.reverse(draws), draws), F.lit(1), F.length(entity) + wider)
+    ip = F.array_join(each(4 + wider, lambda i: (F.pmod(_byte(draws, 2 * i) * 256 + _byte(draws, 2 * i + 1), F.lit(254)) + 1).cast("string")), ".")
     last = F.element_at(F.split(entity, r"\."), -1)
-    email = F.concat(_letters(draws, F.substr(entity, F.lit(1), F.length(entity) - F.length(last))), last)
+    email = F.concat(_letters(draws, F.concat(F.repeat(F.lit("a"), wider), F.substr(entity, F.lit(1), F.length(entity) - F.length(last)))), last)
     part = F.split(entity, ":")
-    given = F.lit(None).cast("string")
-    for (gender, script), names in FIRST.items():
-        pick = F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(_byte(draws, 0), F.lit(len(names))) + 1)
-        given = F.when((part[0] == gender) & (part[1] == script), F.lower(pick)).otherwise(given)
-
-    def syllables(onsets: str, vowels: str) -> Column:
-        def one(i: int) -> Column:
-            return F.concat(F.substr(F.lit(onsets), F.pmod(_byte(draws, i), F.lit(len(onsets))) + 1, F.lit(1)),
-                            F.substr(F.lit(vowels), F.pmod(_byte(draws, i + 1), F.lit(len(vowels))) + 1, F.lit(1)))
-        return F.concat(*[one(i) for i in (1, 3, 5, 7)])
-
-    family = F.when(part[1] == "cyrillic", syllables("бвгдклмнпрст", "аеиоу")).otherwise(syllables("bdfgklmnprst", "aeiou"))
-    name = F.concat_ws(":", part[0], part[1], F.concat_ws(" ", given, family))
+    name = F.lit(None).cast("string")
+    for script, (onsets, vowels) in SYLLABLES.items():
+        made = F.array_join(each(4 + wider, _syllable(draws, onsets, vowels)), "")
+        ends = {"f": vowels[0], "m": onsets[7], "n": vowels[2]}  # a first name that is made up tells the gender by its end
+        own = F.when(part[0] == "family", made)
+        for gender, end in ends.items():
+            names = FIRST[gender, script]
+            pick = F.lower(F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(_byte(draws, 0), F.lit(len(names))) + 1))
+            own = own.when((part[1] == gender) & (tries == 0), pick).when(part[1] == gender, F.concat(made, F.lit(end)))
+        name = F.when(part[2] == script, own).otherwise(name)
     return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "secret", hexes).when(kind == "ip", ip)
             .when(kind == "email", email).otherwise(name))
 
 
-def shown(kind: Column, surface: Column, sign: Column) -> Column:
-    """The surrogate in the format of the surface: its separators, its case, its title."""
+def _cased(word: Column, sign: Column) -> Column:
+    """``sign`` in capitals where ``word`` is (one letter is no sign of that), else with a capital first."""
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(sign)).otherwise(F.initcap(sign))
+
+
+def shown(kind: Column, surface: Column, sign: Column, given: Column, family: Column) -> Column:
+    """The surrogate in the format of the surface: its separators, its case, its title.
+
+    Names have the surrogates of their parts in ``given`` (null without one) and ``family``; others in ``sign``.
+    """
     chars = F.split(surface, "")
     before = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d.rlike("[0-9]"))))
     digits = F.array_join(F.zip_with(chars, before, lambda c, n: F.when(c.rlike("[0-9]"), F.substr(sign, n, F.lit(1))).otherwise(c)), "")
-    words = F.element_at(F.split(sign, ":"), 3)
-    name = F.concat(F.regexp_extract(surface, _TITLE, 0), F.when(F.size(F.split(surface, " ")) > 2, F.initcap(words)).otherwise(
-        F.initcap(F.element_at(F.split(words, " "), 2))))
+    digits = F.concat(digits, F.substr(sign, F.element_at(before, -1) + 1, F.length(sign)))  # those of a wider format
+    names = F.split(F.regexp_replace(surface, _TITLE, ""), " ")
+    name = F.concat(F.regexp_extract(surface, _TITLE, 0), F.concat_ws(" ", F.when(given.isNotNull(), _cased(names[0], given)), _cased(F.element_at(names, -1), family)))
     cased = F.when(surface == F.upper(surface), F.upper(sign)).otherwise(sign)
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "name", name).when(kind == "ip", sign).otherwise(cased)
 
@@ -142,10 +196,10 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, entity, sign`` for the distinct ``kind, entity``: surrogates without clashes.
 
     Each round draws again for the entities whose surrogate an earlier entity has, or which is an
-    entity itself; the others keep theirs.  Rounds end when no clash is left.
+    entity itself; the others keep theirs.  Rounds end when no clash is left, which wider formats see to.
     """
     tries = stage(entities.select("kind", "entity", F.lit(0).alias("tries")), "private-tries")
-    real = entities.select("kind", F.col("entity").alias("sign"), F.lit(True).alias("is_real"))
+    real = entities.select("kind", value(F.col("kind"), F.col("entity")).alias("sign")).distinct().withColumn("is_real", F.lit(True))
     while True:
         drawn = tries.withColumn("sign", surrogate(F.col("kind"), F.col("entity"), F.col("tries"), key))
         drawn = stage(drawn, "private-signs")
@@ -164,11 +218,27 @@ def _row(docs: DataFrame) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``row, kind, surface, entity``, distinct per row."""
+    """``row, kind, surface, entity``, distinct per row; a name has a row for each of its parts."""
     hits = docs.select(_row(docs).alias("row"),
                        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("surface"))
     hits = hits.withColumn("kind", kind_of(F.col("surface"))).where("kind is not null")
-    return hits.withColumn("entity", plain(F.col("kind"), F.col("surface")))
+    return hits.withColumn("entity", F.explode(plain(F.col("kind"), F.col("surface"))))
+
+
+def _maps(found: DataFrame, signs: DataFrame) -> DataFrame:
+    """``__row, __shown, __parts``: per text what stands for each surface, and for each part of a name by itself."""
+    named = found.join(signs, ["kind", "entity"])
+    role = F.when(F.col("kind") == "name", F.element_at(F.split("entity", ":"), 1))
+    named = named.withColumn("role", role).withColumn("part", F.when(role.isNotNull(), value(F.col("kind"), F.col("entity"))))
+    whole = named.groupBy("row", "kind", "surface").agg(
+        F.max(F.when(F.col("role").isNull(), F.col("sign"))).alias("sign"), F.max(F.when(F.col("role") == "given", F.col("sign"))).alias("given"),
+        F.max(F.when(F.col("role") == "family", F.col("sign"))).alias("family"))
+    whole = whole.select("row", "surface", shown(*[F.col(c) for c in ("kind", "surface", "sign", "given", "family")]).alias("shown"))
+    maps = whole.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("surface", "shown"))).alias("__shown"))
+    # a word that is a first name here and a family name there counts as the family name
+    parts = named.where("role is not null").groupBy("row", "part").agg(F.min(F.struct("role", "entity", "sign")).alias("one"))
+    parts = parts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("part", "one.sign"))).alias("__parts"))
+    return maps.join(parts, "row", "left").withColumnRenamed("row", "__row")
 
 
 def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -177,15 +247,24 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
         raise ValueError("the key must not be blank")
     found = stage(_found(docs), "private-found")
     signs = surrogates(found.select("kind", "entity").distinct(), key)
-    named = found.join(signs, ["kind", "entity"]).select("row", "surface", shown(F.col("kind"), F.col("surface"), F.col("sign")).alias("shown"))
-    maps = named.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("surface", "shown"))).alias("__shown")).withColumnRenamed("row", "__row")
+    maps = _maps(found, signs)
     rows = docs.join(maps, _row(docs) == maps["__row"], "left")
-    text = docs["text"]
-    hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(hits, lambda h: F.coalesce(F.element_at(maps["__shown"], h), h))
-    between = F.split(text, ANY)
-    whole = F.array_join(F.zip_with(between, new, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
-    has = maps["__shown"].isNotNull() & text.isNotNull()
-    return rows.select(*[F.when(has, whole).otherwise(text).alias("text") if c == "text" else docs[f"`{c}`"]
-                         for c in docs.columns if c != "n_entities"],
-                       F.when(has, F.size(hits)).otherwise(0).cast("long").alias("n_entities"))
+    text, known, parts = docs["text"], maps["__shown"], maps["__parts"]
+
+    def replaced(pattern: str, one) -> tuple[Column, Column]:
+        """The text with every match replaced by ``one`` of it (null: left alone), and the number replaced."""
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        new = F.transform(hits, lambda h: F.coalesce(one(h), h))
+        whole = F.array_join(F.zip_with(F.split(text, pattern), new, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+        return whole, F.size(F.filter(F.transform(hits, one), lambda h: h.isNotNull())).cast("long")
+
+    def by_part(h: Column) -> Column:
+        sign = F.element_at(parts, F.lower(h))
+        return F.coalesce(F.element_at(known, h), F.when(sign.isNotNull(), _cased(h, sign)))
+
+    plain_text, count = replaced(ANY, lambda h: F.element_at(known, h))
+    named_text, more = replaced(f"{ANY}|(?:{_WORD})", by_part)
+    has, names = known.isNotNull() & text.isNotNull(), parts.isNotNull()
+    new = F.when(has & names, named_text).when(has, plain_text).otherwise(text).alias("text")
+    return rows.select(*[new if c == "text" else docs[f"`{c}`"] for c in docs.columns if c != "n_entities"],
+                       F.when(has & names, more).when(has, count).otherwise(0).cast("long").alias("n_entities"))
