@@ -66,6 +66,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=2)
+def _numbers(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.uint64)
+
+
 class _Slice:
     """Anchors of a slice of texts, and the hashes of byte ranges in it."""
 
@@ -83,17 +88,19 @@ class _Slice:
             start = np.zeros(0, np.int64)
             least = np.zeros(0, np.uint64)
         else:
-            gram = np.zeros(n - GRAM + 1, np.uint64)
+            gram = np.empty(n - GRAM + 1, np.uint64)
             for k in range(GRAM):
                 part = np.frombuffer(self.data, "<u8", count=(n - k) // GRAM, offset=k)
                 gram[k::GRAM] = part
-            order = (w.mix(gram) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
+            gram *= np.uint64(_BASE)  # the upper half of the product is the hash, the lower half gives way to the place
+            gram &= np.uint64(0xFFFFFFFF00000000)
+            gram |= _numbers(size + 1)[:len(gram)]
             edge = np.zeros(n + 1, np.int8)
             edge[self.at[:-1][usable > 0]] = 1
             stops = (self.at[:-1] + usable)[usable > 0]
             edge[stops] -= 1
             start = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
-            least = w.lowest(order, tau)[start] & np.uint64(0xFFFFFFFF)
+            least = w.lowest(gram, tau)[start] & np.uint64(0xFFFFFFFF)
         first = np.ones(len(start), bool)
         first[1:] = least[1:] != least[:-1]
         at = np.flatnonzero(first)
@@ -178,17 +185,17 @@ def _sampled(x: _Slice, cores) -> np.ndarray:
 
 
 def _triples(batches: Iterator[pa.RecordBatch], window: int, cores) -> Iterator[pa.RecordBatch]:
-    """``triple, bytes``: the strings of the sampled triples, each once in a slice."""
+    """``triple, bytes, c``: the strings of the sampled triples, each once in a slice with its count."""
     for batch in batches:
         for _, _, x in _slices(batch, window):
             start, end = x.triples(_sampled(x, cores))
-            h, first = np.unique(x.hash(start, end, _TRIPLE), return_index=True)
+            h, first, c = np.unique(x.hash(start, end, _TRIPLE), return_index=True, return_counts=True)
             start, size = start[first], (end - start)[first]
             offsets = np.append(0, np.cumsum(size))
             place = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
             strings = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), len(h), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(x.data[place])])
-            yield pa.record_batch({"triple": h.view(np.int64), "bytes": strings.cast(pa.binary())})
+            yield pa.record_batch({"triple": h.view(np.int64), "bytes": strings.cast(pa.binary()), "c": c.astype(np.int32)})
 
 
 def _places(batches: Iterator[pa.RecordBatch], window: int, cores) -> Iterator[pa.RecordBatch]:
@@ -215,65 +222,100 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 _NUMBERS = 1 << 31
 
 
+def _at(place: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted places are in the sorted ``place``, and which of them are there."""
+    if not len(place):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+    return i, place[i] == wanted
+
+
+def _names(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Place (row and number) and name of every sampled anchor: ``name`` of its triple, then ``finer`` (0: none)."""
+    row, f = _flat(batch.column("names"))
+    f |= {"row": row, "finer": np.zeros(len(row), np.int64), "more": f["shared"]}
+    place = row * _NUMBERS + f["number"]
+    if "finer" in batch.schema.names:
+        own, g = _flat(batch.column("finer"))
+        i, _ = _at(place, own * _NUMBERS + g["number"])
+        f["more"] = np.zeros(len(row), bool)
+        f["finer"][i], f["more"][i] = g["name"], g["more"]
+    return place, f
+
+
 def _longer(batches: Iterator[pa.RecordBatch], window: int, step: int) -> Iterator[pa.RecordBatch]:
-    """Names of three anchors ``step`` apart, -1 beyond the end; ``open`` where a longer one could still differ in a window."""
+    """Names of three anchors ``step`` apart, -1 beyond the end, of the anchors that need longer ones.
+
+    ``open`` tells whether the three names together may still end inside a window.
+    """
     for batch in batches:
-        row, f = _flat(batch.column("names"))
-        place = row * _NUMBERS + f["number"]
-        out = {"key": batch.column("key").to_numpy()[row], "number": f["number"].astype(np.int32), "at": f["at"], "a": f["name"]}
-        for name, ahead in (("b", step), ("c", 2 * step), ("d", 3 * step)):
-            i = np.minimum(np.searchsorted(place, place + ahead), max(len(place) - 1, 0))
-            there = place[i] == place + ahead if len(place) else np.zeros(0, bool)
-            out[name] = np.where(there, f["name"][i], -1)
-            if name == "d":
-                out["open"] = there & (f["at"][i] <= f["at"] + window)
-        del out["d"]
+        place, f = _names(batch)
+        need = f["more"].copy()
+        if step == 3:
+            i, there = _at(place, place + step)
+            need &= there & (f["at"][i] <= f["at"] + window)
+        at = np.flatnonzero(need)
+        out = {"key": batch.column("key").to_numpy()[f["row"][at]], "number": f["number"][at].astype(np.int32), "a": f["name"][at], "a2": f["finer"][at]}
+        for name, ahead in (("b", step), ("c", 2 * step)):
+            i, there = _at(place, place[at] + ahead)
+            out[name], out[name + "2"] = (np.where(there, f[x][i], -1) for x in ("name", "finer"))
+        i, there = _at(place, place[at] + 3 * step)
+        out["open"] = there & (f["at"][i] <= f["at"][at] + window)
         yield pa.record_batch(out)
 
 
-def _named(rows: DataFrame, distinct: DataFrame, by: list[str], strings: list[str]) -> DataFrame:
-    """``rows`` with the place ``name`` of their ``strings`` in the order of all, gathered by text; how often the name is had as ``n``."""
-    order = distinct.repartitionByRange(*strings).sortWithinPartitions(*strings)
-    names = stage(order.select(*by, "n", F.monotonically_increasing_id().alias("name")), "suffix-names")
-    one = rows.join(names, by)
-    parts = [F.struct("number", "at", "name")]
-    shared = [F.max((F.col("n") > 1) & F.col("open")).alias("open")] if "open" in rows.columns else [F.lit(True).alias("open")]
-    return stage(one.groupBy("key").agg(F.collect_set(*parts).alias("names"), *shared), "suffix-places")
-
-
 def suffix_names(hopeful: DataFrame, cores, window: int = WINDOW) -> DataFrame:
-    """``key, names``: of each text the numbers of its sampled anchors with the names that order their suffixes."""
+    """``key, names, finer``: of each text its sampled anchors with the names that order their suffixes.
+
+    ``names`` has the number of the anchor, its place ``at`` and the ``name`` of its triple; ``finer`` orders those
+    of one name that need it.
+    """
     option = {"window": window, "cores": cores}
     places = hopeful.mapInArrow(partial(_places, **option), "key long, number int, at long, triple long").distinct()
-    strings = hopeful.mapInArrow(partial(_triples, **option), "triple long, bytes binary")
-    distinct = strings.groupBy("triple").agg(F.min("bytes").alias("bytes")).withColumn("n", F.lit(2))
-    named, step = _named(places, distinct, ["triple"], ["bytes"]), 3
-    while named.where("open").limit(1).count():
-        rows = named.mapInArrow(partial(_longer, window=window, step=step), "key long, number int, at long, a long, b long, c long, open boolean")
-        distinct = rows.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
-        named, step = _named(rows, distinct, ["a", "b", "c"], ["a", "b", "c"]), 3 * step
-    return named.select("key", "names")
+    strings = hopeful.mapInArrow(partial(_triples, **option), "triple long, bytes binary, c int")
+    order = strings.groupBy("triple").agg(F.min("bytes").alias("bytes"), F.sum("c").alias("c"))
+    order = order.repartitionByRange("bytes").sortWithinPartitions("bytes")
+    triples = stage(order.select("triple", (F.col("c") > 1).alias("shared"), F.monotonically_increasing_id().alias("name")), "suffix-triples")
+    one = F.struct("number", "at", "name", "shared")
+    named = stage(places.join(triples, "triple").groupBy("key").agg(F.collect_list(one).alias("names")), "suffix-places")
+    finer, step = None, 3
+    while True:
+        known = named if finer is None else named.join(finer, "key")
+        three = ["a", "a2", "b", "b2", "c", "c2"]
+        rows = known.mapInArrow(partial(_longer, window=window, step=step), "key long, number int, " + ", ".join(f"{x} long" for x in three) + ", open boolean")
+        order = rows.groupBy(three).agg(F.count("*").alias("n"), F.max("open").alias("open")).repartitionByRange(*three).sortWithinPartitions(*three)
+        names = stage(order.select(*three, (F.monotonically_increasing_id() + 1).alias("name"), ((F.col("n") > 1) & F.col("open")).alias("open")), "suffix-names")
+        # names of one triple are refined together as long as one of them needs it, so they can be compared
+        again = names.groupBy("a").agg(F.max("open").alias("more"))
+        own = rows.join(names.drop("open").join(again, "a"), three).select("key", F.struct("number", "name", "more").alias("one"))
+        if finer is not None:  # those refined before and not now keep their names
+            own = own.unionByName(finer.select("key", F.explode("finer").alias("one")).where("not one.more"))
+        finer, step = stage(own.groupBy("key").agg(F.collect_list("one").alias("finer")), "suffix-finer"), 3 * step
+        if not names.where("open").limit(1).count():
+            return named.join(finer, "key", "left")
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int, cores) -> Iterator[pa.RecordBatch]:
-    """``left, name, windows, c``: per candidate and distance to a sampled anchor, its remaining suffix and its windows."""
+    """``left, name, finer, windows, c``: per candidate and distance to a sampled anchor, its remaining suffix and its windows."""
     for batch in batches:
-        names = batch.column("names")
         for low, high, x in _slices(batch, window):
-            row, f = _flat(names.slice(low, high - low))
-            place, candidate, group = row * _NUMBERS + f["number"], np.flatnonzero(_candidates(x, cores)), x.groups()
+            place, f = _names(batch.slice(low, high - low))
+            candidate, group, shape = np.flatnonzero(_candidates(x, cores)), x.groups(), x.shape()
             out = []
             for ahead in range(3):
                 at = candidate[(x.number[candidate] + ahead) % 3 != 0]
                 at = at[at + ahead < x.begin[x.text[at] + 1]]
-                wanted = x.text[at] * _NUMBERS + x.number[at] + ahead
-                i = np.searchsorted(place, wanted)
-                left = w.mix(x.hash(x.low[at], x.anchor[at + ahead], _SUFFIX) ^ w.mix(x.shape()[at] * np.uint64(3) + np.uint64(ahead)))
-                out.append(np.stack([left.view(np.int64), f["name"][i], group[at].view(np.int64)], axis=1))
+                i, _ = _at(place, x.text[at] * _NUMBERS + x.number[at] + ahead)
+                left = w.mix(x.hash(x.low[at], x.anchor[at + ahead], _SUFFIX) ^ w.mix(shape[at] * np.uint64(3) + np.uint64(ahead)))
+                out.append(np.stack([left.view(np.int64), f["name"][i], f["finer"][i], group[at].view(np.int64)], axis=1))
             every = np.concatenate(out)
             if len(every):
-                rows, c = np.unique(every, axis=0, return_counts=True)
-                yield pa.record_batch({"left": rows[:, 0].copy(), "name": rows[:, 1].copy(), "windows": rows[:, 2].copy(), "c": c.astype(np.int64)})
+                every = every[np.lexsort((every[:, 3], every[:, 2], every[:, 1], every[:, 0]))]
+                first = np.ones(len(every), bool)
+                first[1:] = (every[1:] != every[:-1]).any(1)
+                c = np.diff(np.append(np.flatnonzero(first), len(every)))
+                columns = {name: every[first, i].copy() for i, name in enumerate(("left", "name", "finer", "windows"))}
+                yield pa.record_batch(columns | {"c": c.astype(np.int64)})
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +410,7 @@ def _lists(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return rows.join(values, "value").groupBy("key").agg(F.collect_set("value").alias(name))
 
 
-def repeated(source: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object] | None:
+def repeated(source: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
     """``key, known, single``: of each text of ``source(key, text)`` the hashes of its repeated windows, by anchor and one by one.
 
     Also the bitmap of repeated cores, a broadcast that marks the candidates.
@@ -383,23 +425,23 @@ def repeated(source: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object
     option = {"window": window, "cores": cores}
     hopeful = stage(source.mapInArrow(partial(_hopeful, **option), "key long, text string"), "suffix-texts")
     rows = hopeful.join(suffix_names(hopeful, cores, window), "key").mapInArrow(
-        partial(_suffixes, **option), "left long, name long, windows long, c long")
-    order = rows.groupBy("left", "name", "windows").agg(F.sum("c").alias("c")).repartitionByRange("left", "name").sortWithinPartitions("left", "name")
+        partial(_suffixes, **option), "left long, name long, finer long, windows long, c long")
+    place = ["left", "name", "finer"]
+    order = rows.groupBy(*place, "windows").agg(F.sum("c").alias("c")).repartitionByRange(*place).sortWithinPartitions(*place)
     runs = stage(order.select("left", "windows", "c").mapInArrow(_adjacent, "left long, windows long, c long, edge boolean"), "suffix-runs")
     at_borders = runs.where("edge").groupBy("left", "windows").agg(F.sum("c").alias("c")).drop("left")
     settled = runs.select("windows", "c").unionByName(at_borders).where("c > 1").select(F.col("windows").alias("value")).distinct()
     settled = stage(settled, "suffix-settled")
     pairs = hopeful.mapInArrow(partial(_settled_here, **option, settled=bitmap(settled, "value")), "value long, key long")
-    known = stage(_lists(pairs, settled, "known"), "suffix-known")
-    texts = hopeful.join(known, "key", "left").select("key", "text", "known")
+    texts = stage(hopeful.join(_lists(pairs, settled, "known"), "key", "left").select("key", "text", "known"), "suffix-known")
     still = texts.select("text", "known").mapInArrow(partial(_open_cores, **option), "core long, c long").select("core").distinct()
     open_cores = bitmap(stage(still, "suffix-open"), "core")
     singles = texts.select("text", "known").mapInArrow(partial(_singles, **option, open_cores=open_cores), "value long, c long, open boolean")
     singles = singles.groupBy("value").agg(F.sum("c").alias("c"), F.max("open").alias("open")).where("c > 1 and open").select("value")
     singles = stage(singles, "suffix-singles")
     pairs = texts.mapInArrow(partial(_singles_here, **option, found=bitmap(singles, "value")), "value long, key long")
-    single = _lists(pairs, singles, "single")
-    return known.join(single, "key", "full"), cores
+    known = texts.where("known is not null").select("key", "known").dropDuplicates(["key"])
+    return stage(known.join(_lists(pairs, singles, "single"), "key", "full"), "suffix-lists"), cores
 
 
 def _removal(batches: Iterator[pa.RecordBatch], window: int, cores, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -433,6 +475,29 @@ def _removal(batches: Iterator[pa.RecordBatch], window: int, cores, digest: bool
             yield pa.record_batch(out)
 
 
+def _touched(batches: Iterator[pa.RecordBatch], touched) -> Iterator[pa.RecordBatch]:
+    """Rows whose text may have lists."""
+    for batch in batches:
+        some = bits.member(touched.value, batch.column("key").to_numpy().view(np.uint64))
+        if some.any():
+            yield batch.filter(pa.array(some))
+
+
+def _untouched(batches: Iterator[pa.RecordBatch], touched, digest: bool) -> Iterator[pa.RecordBatch]:
+    """The other rows, which stay whole."""
+    for batch in batches:
+        batch = batch.filter(pa.array(~bits.member(touched.value, batch.column("key").to_numpy().view(np.uint64))))
+        data, at = whole(batch.column("text"))
+        zero = np.zeros(batch.num_rows, np.int64)
+        out = {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(at).astype(np.int64), "n_removed": zero, "n_spans": zero}
+        kept = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        if digest:
+            out["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())
+        else:
+            out["kept"] = pa.array(kept, pa.binary())
+        yield pa.record_batch(out)
+
+
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and the remaining bytes as ``kept``.
 
@@ -443,6 +508,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, digest: bool =
         raise ValueError("windows of fewer than 32 bytes are not supported")
     key = F.xxhash64("doc_id", "text").alias("key")
     lists, cores = repeated(docs.select(key, "text"), window)
-    rows = docs.select("doc_id", "text", key).join(lists, "key", "left").select("doc_id", "text", "known", "single")
-    last = "kept_sha256 string" if digest else "kept binary"
-    return rows.mapInArrow(partial(_removal, window=window, cores=cores, digest=digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    touched = docs.sparkSession.sparkContext.broadcast(bits.bitmap(lists, "key", bits.size_for(lists.count())))
+    last = ("kept_sha256 string", "kept_sha256") if digest else ("kept binary", "kept")
+    columns = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]}"
+    removal = partial(_removal, window=window, cores=cores, digest=digest)
+    rows = docs.select("doc_id", "text", key)
+    # texts without lists need not be moved to where lists are
+    whole_rows = rows.mapInArrow(partial(_untouched, touched=touched, digest=digest), columns)
+    some = rows.mapInArrow(partial(_touched, touched=touched), "doc_id long, text string, key long").join(lists, "key", "left")
+    return whole_rows.unionByName(some.select("doc_id", "text", "known", "single").mapInArrow(removal, columns))
