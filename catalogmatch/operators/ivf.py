@@ -5,15 +5,14 @@ of a cluster cannot be closer to a query than the distance to the centre minus t
 a first look into the nearest clusters every cluster whose bound lies beyond the k-th item found is
 skipped.  What remains is searched completely: the rows are those of ``knn_exact``.
 
-A cluster may hold any share of the items.  It is never gathered in one place: its files are
-streamed past the broadcast queries like any scan.
+A cluster may hold any share of the items.  It is never gathered in one place: its files are streamed
+past the broadcast queries like any scan, or dealt into pieces that meet blocks of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogmatch.operators import knn
+from catalogmatch.operators.cells import cell_best
 from catalogmatch.session import shared_dir, wide_tasks
 
 ITEMS_PER_CLUSTER = 2_000  # clusters grow in number with the items, up to MOST_CLUSTERS
 MOST_CLUSTERS = 4_096
+LOOKS = 2_000_000            # pairs of query and cluster that may pass through the driver
 
 
 @dataclass(frozen=True)
@@ -79,14 +80,65 @@ def cluster_items(items: DataFrame, clusters: int | None = None, path: str | Non
     return ClusteredItems(path, centres, sizes, radii)
 
 
-def _search(items: ClusteredItems, query_ids: np.ndarray, rows: np.ndarray, wanted: np.ndarray, k: int, spark) -> DataFrame:
-    """Best k per query and task among the clusters marked in ``wanted`` (queries x clusters)."""
-    shared = spark.sparkContext.broadcast((query_ids, rows, wanted))
-    read = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
+def _to_centres(rows: np.ndarray, items: ClusteredItems) -> np.ndarray:
+    """Distances of unit rows to all centres; items without length count as near."""
+    squares = (rows ** 2).sum(1)[:, None] + (items.centres ** 2).sum(1)[None, :] - 2 * rows @ items.centres.T
+    return np.hstack([np.sqrt(np.maximum(squares, 0)), np.zeros((len(rows), 1))])
+
+
+def _first(distances: np.ndarray, items: ClusteredItems, k: int) -> np.ndarray:
+    """The nearest clusters that hold ``k`` items together: rows x clusters."""
+    order = np.argsort(distances, axis=1, kind="stable")
+    before = np.cumsum(items.sizes[order], axis=1) - items.sizes[order]
+    out = np.zeros(distances.shape, bool)
+    np.put_along_axis(out, order, before < k, axis=1)
+    return out & (items.sizes > 0)
+
+
+def _looks(queries: DataFrame, items: ClusteredItems, k: int, again: bool, vectors: bool) -> DataFrame:
+    """``query_id, cell`` (and ``vector``): the clusters of the first look, or of the second.
+
+    ``queries`` have ``query_id, vector`` and for the second look ``reach``, the distance within which items
+    matter (null: any).  Distances are computed in tasks, a stretch of queries at a time.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(items)  # at most MOST_CLUSTERS centres
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                distances = _to_centres(knn._unit_rows(part.column("vector"), known.centres.shape[1]), known)
+                wanted = _first(distances, known, k)
+                if again:
+                    reach = part.column("reach").to_numpy(zero_copy_only=False)
+                    reach = np.where(np.isnan(reach), np.inf, reach)
+                    wanted = (distances - known.radii - 1e-6 <= reach[:, None]) & ~wanted & (known.sizes > 0)
+                row, cluster = np.nonzero(wanted)
+                out = {"query_id": part.column("query_id").take(pa.array(row)), "cell": pa.array(cluster.astype(np.int64))}
+                if vectors:
+                    out["vector"] = part.column("vector").take(pa.array(row))
+                yield pa.record_batch(out)
+
+    ddl = "query_id bigint, cell bigint" + (", vector array<float>" if vectors else "")
+    return queries.mapInArrow(look, ddl)
+
+
+def _stream(items: ClusteredItems, query_ids: np.ndarray, rows: np.ndarray, looks: pa.Table, k: int, spark) -> DataFrame:
+    """Best k per query and task: the clusters' files are streamed past the broadcast queries.
+
+    ``looks`` names the queries of each cluster.
+    """
+    position = np.argsort(query_ids, kind="stable")
+    at = position[np.searchsorted(query_ids[position], looks.column("query_id").to_numpy())]
+    cells = looks.column("cell").to_numpy()
+    order = np.lexsort((at, cells))
+    shared = spark.sparkContext.broadcast((query_ids, rows, at[order], cells[order]))
+    read = [int(c) for c in np.unique(cells)]
     table = spark.read.parquet(items.path).where(F.col("cluster").isin(read)).select("cd_insumo", "vector", "cluster")
 
     def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, rows, wanted = shared.value
+        query_ids, rows, at, cells = shared.value
         size = 1024
         blocks = [knn._Best(query_ids[r:r + size], rows[r:r + size], k) for r in range(0, len(rows), size)]
         for batch in batches:
@@ -94,65 +146,64 @@ def _search(items: ClusteredItems, query_ids: np.ndarray, rows: np.ndarray, want
             vectors = knn._unit_rows(batch.column(1), rows.shape[1])
             clusters = batch.column(2).to_numpy(zero_copy_only=False)
             for cluster in np.unique(clusters):
+                asking = at[np.searchsorted(cells, cluster):np.searchsorted(cells, cluster, side="right")]
                 members = np.flatnonzero(clusters == cluster)
                 for c in range(0, len(members), 4096):
                     part = members[c:c + 4096]
                     exact, coarse = vectors[part], vectors[part].astype(np.float32)
-                    for b, block in enumerate(blocks):
-                        only = np.flatnonzero(wanted[b * size:(b + 1) * size, cluster])
-                        if len(only):
-                            block.add(ids[part], exact, coarse, only)
+                    for b in np.unique(asking // size):
+                        blocks[b].add(ids[part], exact, coarse, asking[asking // size == b] - b * size)
         for block in blocks:
             yield from block.table().to_batches()
 
     return table.coalesce(wide_tasks(spark)).mapInArrow(local_best, knn._RESULT_DDL)
 
 
-def knn_ivf(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
+def _join(items: ClusteredItems, looks: DataFrame, k: int) -> DataFrame:
+    """Best k per query and piece of a cluster: queries and items meet by cluster number."""
+    spark = looks.sparkSession
+    path = shared_dir(spark, "looks")
+    looks.write.parquet(path)
+    stored = spark.read.schema(looks.schema).parquet(path)
+    read = [row.cell for row in stored.select("cell").distinct().collect()]  # at most MOST_CLUSTERS + 1
+    table = spark.read.parquet(items.path).where(F.col("cluster").isin(read)).select(
+        F.col("cluster").cast("bigint").alias("cell"), "cd_insumo", "vector")
+    return cell_best(stored, table, k)
+
+
+def knn_ivf(queries: DataFrame, items: ClusteredItems, k: int, broadcast: bool | None = None) -> DataFrame:
     """The ``k`` closest items per query, the same rows as ``knn_exact``.
 
-    Query tables too large to broadcast are written down and searched in blocks that are not.
+    Which clusters a query looks into is found in tasks.  Where the queries and the pairs of query and
+    cluster are few enough (both counted) the items stream past the broadcast queries; else both meet
+    by an equi-join on the cluster, whose pieces and blocks are bounded.  Either way the items are read
+    once for the first look and once for the second, however many queries there are.  ``broadcast`` fixes
+    the way.
     """
-    wanted = queries.select(
-        F.col("query_id").cast("bigint"), F.col("vector").cast("array<float>").alias("vector"))
-    if knn.small_enough(wanted):
-        return knn._merge(_pruned(wanted.toArrow(), items, k, queries.sparkSession), k)
-    path = shared_dir(queries.sparkSession, "queries")
-    wanted.write.parquet(path)
-    stored = queries.sparkSession.read.schema(wanted.schema).parquet(path)
-    blocks = 2
-    while True:  # halve until every block fits
-        parts = [stored.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-        if all(knn.small_enough(part) for part in parts):
-            break
-        blocks *= 2
-    found = [_pruned(part.toArrow(), items, k, queries.sparkSession) for part in parts]
-    return knn._merge(reduce(DataFrame.unionByName, found), k)
-
-
-def _pruned(sample: pa.Table, items: ClusteredItems, k: int, spark) -> DataFrame:
-    """Best items per task of one block of queries, reading only clusters that can matter."""
-    if not sample.num_rows:
-        return spark.createDataFrame([], knn._RESULT_DDL)
-    query_ids, rows = sample.column("query_id").to_numpy(), knn._unit_rows(sample.column("vector"))
-
-    squares = (rows ** 2).sum(1)[:, None] + (items.centres ** 2).sum(1)[None, :] - 2 * rows @ items.centres.T
-    to_centre = np.hstack([np.sqrt(np.maximum(squares, 0)), np.zeros((len(rows), 1))])
-    nearest_possible = to_centre - items.radii - 1e-6
-    order = np.argsort(to_centre, axis=1)
-    before = np.cumsum(items.sizes[order], axis=1) - items.sizes[order]
-    first = np.zeros(to_centre.shape, bool)
-    np.put_along_axis(first, order, before < k, axis=1)
+    spark = queries.sparkSession
+    path = shared_dir(spark, "queries")
+    queries.select(F.col("query_id").cast("bigint"), F.col("vector").cast("array<float>").alias("vector")).write.parquet(path)
+    wanted = spark.read.schema("query_id bigint, vector array<float>").parquet(path)
+    few = knn.small_enough(wanted) if broadcast is None else broadcast
+    sample = wanted.toArrow() if few else None
+    if few and not sample.num_rows:
+        return knn._merge(spark.createDataFrame([], knn._RESULT_DDL), k)
+
+    def search(rows: DataFrame, again: bool) -> DataFrame:
+        if few:
+            looks = _looks(rows, items, k, again, vectors=False)
+            if broadcast or looks.count() <= LOOKS:
+                found = looks.toArrow()
+                if not found.num_rows:
+                    return spark.createDataFrame([], knn._RESULT_DDL)
+                return _stream(items, sample.column("query_id").to_numpy(), knn._unit_rows(sample.column("vector")), found, k, spark)
+        return _join(items, _looks(rows, items, k, again, vectors=True), k)
 
     # the first look is written down, so the bound and the result read it instead of repeating it
     path = shared_dir(spark, "first-look")
-    knn._merge(_search(items, query_ids, rows, first, k, spark), k, clip=False).write.parquet(path)
+    knn._merge(search(wanted, False), k, clip=False).write.parquet(path)
     found = spark.read.schema("query_id bigint, cd_insumo bigint, similarity double, knn_rank int").parquet(path)
-    kth = found.where(F.col("knn_rank") == k).select("query_id", "similarity").toPandas()
-    reach = np.full(len(rows), np.inf)
-    position = np.argsort(query_ids)
-    at = position[np.searchsorted(query_ids[position], kth.query_id)]
-    reach[at] = np.sqrt(np.maximum(2 - 2 * kth.similarity + 4 * 10.0 ** -knn.DIGITS, 0))
-    second = (nearest_possible <= reach[:, None]) & ~first & (items.sizes > 0)
-    rest = _search(items, query_ids, rows, second, k, spark)
-    return found.drop("knn_rank").unionByName(rest)
+    reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity") + 4 * 10.0 ** -knn.DIGITS))
+    kth = found.where(F.col("knn_rank") == k).select("query_id", reach.alias("reach"))
+    rest = search(wanted.join(kth, "query_id", "left"), True)
+    return knn._merge(found.drop("knn_rank").unionByName(rest), k)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmatch.operators import embed, ivf, knn, metrics, ranking
+from catalogmatch.operators import embed, ivf, knn, lsh, metrics, ranking
 from catalogmatch.operators import standardize as st
+from catalogmatch.operators.knn_sql import knn_sql as sql_knn
 from catalogmatch.plans.search import hybrid_search as search
 from catalogmatch.plans.standardization import standardize_catalog
 from catalogmatch.registered import sql as q
@@ -124,6 +125,30 @@ def knn_ivf(spark, sf_dir):
     return ivf.knn_ivf(t.query_vectors(spark, sf_dir), clustered, K)
 
 
+@register(q.with_(ALL_ITEMS, KNN, then="SELECT query_id, cd_insumo, score_sbert, knn_rank FROM knn"))
+def knn_ivf_joined(spark, sf_dir):
+    """The plan for query tables too large to broadcast."""
+    clustered = ivf.cluster_items(t.item_vectors(spark, sf_dir), clusters=16)
+    return ivf.knn_ivf(t.query_vectors(spark, sf_dir), clustered, K, broadcast=False)
+
+
+@register(q.with_(ALL_ITEMS, KNN, then="SELECT query_id, cd_insumo, score_sbert, knn_rank FROM knn"))
+def knn_sql(spark, sf_dir):
+    clustered = ivf.cluster_items(t.item_vectors(spark, sf_dir), clusters=16)
+    return sql_knn(t.query_vectors(spark, sf_dir), clustered, K)
+
+
+LSH_TABLES, LSH_BITS, LSH_PROBES = 8, 6, 12
+HUNDREDTH = "SELECT query_id, vector FROM qv WHERE query_id % 100 = 0"
+
+
+@register(q.with_(ALL_ITEMS, t.QUERY_VECTORS_SQL, q.lsh_ctes(HUNDREDTH, "items", lsh.planes(64, LSH_TABLES, LSH_BITS), LSH_TABLES, LSH_PROBES, K),
+                  then="SELECT query_id, cd_insumo, score_sbert, knn_rank FROM lsh"))
+def knn_lsh(spark, sf_dir):
+    queries = t.query_vectors(spark, sf_dir).where("query_id % 100 = 0")
+    return lsh.knn_lsh(queries, t.item_vectors(spark, sf_dir), K, LSH_TABLES, LSH_BITS, LSH_PROBES)
+
+
 # ---- similarities ----
 
 SUCCESSORS = """SELECT a.cd_insumo AS query_id, b.cd_insumo, 0.5::DOUBLE AS score_sbert, a.insumo_descricao AS q_descricao, a.marca AS q_marca,

@@ -205,6 +205,31 @@ def knn_ctes(queries: str, items: str, k: int) -> str:
         FROM kr WHERE knn_rank <= {k})"""
 
 
+def lsh_ctes(queries: str, items: str, planes, tables: int, probes: int, k: int) -> str:
+    """``lsh(query_id, cd_insumo, score_sbert, knn_rank)``: the best of the buckets that each query looks into.
+
+    ``planes`` are the random directions of all tables in turn.
+    """
+    bits = len(planes) // tables
+    lists = ", ".join(f"[{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[]" for plane in planes)
+    return f"""lp AS MATERIALIZED (SELECT i // {bits} AS tab, i % {bits} AS bit, p[i + 1] AS plane FROM (SELECT [{lists}] AS p), range({len(planes)}) r(i)),
+    lq AS MATERIALIZED (SELECT query_id, CAST(vector AS DOUBLE[]) AS v FROM ({queries})),
+    li AS MATERIALIZED (SELECT cd_insumo, CAST(vector AS DOUBLE[]) AS v FROM {items}),
+    lb AS MATERIALIZED (SELECT cd_insumo, tab, sum(CASE WHEN list_inner_product(v, plane) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS bucket
+        FROM li, lp GROUP BY ALL),
+    ls AS MATERIALIZED (SELECT query_id, tab, bit, list_inner_product(v, plane) AS side FROM lq, lp),
+    lo AS (SELECT query_id, tab, sum(CASE WHEN side >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS bucket FROM ls GROUP BY ALL),
+    lc AS (SELECT query_id, tab, s, sum(side * side * ((s >> bit) & 1)) AS cost FROM ls, range({2 ** bits}) r(s) GROUP BY ALL),
+    lr AS (SELECT query_id, tab, s, row_number() OVER (PARTITION BY query_id, tab ORDER BY cost, s) AS place FROM lc),
+    lw AS (SELECT query_id, tab, xor(bucket, s) AS bucket FROM lr JOIN lo USING (query_id, tab) WHERE place <= {probes}),
+    lf AS (SELECT DISTINCT query_id, cd_insumo FROM lw JOIN lb USING (tab, bucket)),
+    lm AS (SELECT query_id, cd_insumo, round(coalesce(list_inner_product(lq.v, li.v)
+        / nullif(sqrt(list_inner_product(lq.v, lq.v)) * sqrt(list_inner_product(li.v, li.v)), 0), 0), 6) + 0.0 AS sim
+        FROM lf JOIN lq USING (query_id) JOIN li USING (cd_insumo)),
+    lsh AS (SELECT query_id, cd_insumo, greatest(0.0::DOUBLE, least(1.0::DOUBLE, sim)) AS score_sbert,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cd_insumo) AS INTEGER) AS knn_rank FROM lm QUALIFY knn_rank <= {k})"""
+
+
 def hash_vectors(name: str, source: str, key: str, dim: int = 256) -> str:
     """``name(key, vector)``: hashed word and trigram counts of ``source(key, txt)``, unit length."""
     grams = "flatten(list_transform(ws, lambda w: list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3))))"
