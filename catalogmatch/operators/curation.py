@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from catalogmatch.functions.text import words
 from catalogmatch.operators.feedback import KEY, query_key
+from catalogmatch.operators.pair_ranks import rank_pairs
+from catalogmatch.operators.quantiles import exact_quantiles
+from catalogmatch.session import shared_dir
 
 ITEM = "match_cd_insumo"
 PAIR = [*KEY, ITEM]
@@ -50,15 +53,15 @@ def votes_per_query_hist(feedback: DataFrame) -> DataFrame:
 
 
 def score_by_label(feedback: DataFrame) -> DataFrame:
-    """Distribution of the vector score of approved and rejected votes.
+    """Distribution of the vector score of approved and rejected votes, on the scores as they are.
 
-    Scores are taken to four digits, so quartiles are exact on at most 10,001 values.
+    Scores that are missing or no finite number are left out.
     """
-    rows = feedback.where("score_sbert is not null").select(
-        F.when(_approved(), "approved").otherwise("rejected").alias("outcome"), F.round("score_sbert", 4).alias("s"))
-    return rows.groupBy("outcome").agg(
-        F.count("*").alias("votes"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("deviation"),
-        *[F.percentile("s", q).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    rows = feedback.select(F.when(_approved(), "approved").otherwise("rejected").alias("outcome"), F.col("score_sbert").cast("double").alias("s"))
+    rows = rows.where(F.abs("s") < float("inf"))
+    moments = rows.groupBy("outcome").agg(F.count("*").alias("votes"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("deviation"))
+    quartiles = exact_quantiles(rows, "outcome", "s", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return moments.join(F.broadcast(quartiles), "outcome")  # two rows
 
 
 def latest_votes(feedback: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -137,31 +140,40 @@ def cap_per_query(feedback: DataFrame, most: int = MAX_PER_QUERY) -> DataFrame:
     return latest_votes(feedback).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def _rejected_pairs(feedback: DataFrame, least: float, most: float | None, neighbours: DataFrame | None) -> DataFrame:
+def _rejected_pairs(feedback: DataFrame, least: float, most: float | None) -> DataFrame:
     score = F.col("score_sbert")
-    wanted = ~_approved() & ((score > least) if most is None else score.between(least, most))
-    rows = query_key(feedback).where(wanted)
-    if neighbours is None:
-        rows = rows.where(F.col("rank_posicao") <= HARD_RANK)
-    else:
-        near = neighbours.where(F.col("knn_rank") <= HARD_RANK).select(*KEY, F.col("cd_insumo").alias(ITEM))
-        rows = rows.join(near, PAIR, "left_semi")
-    return rows.groupBy(PAIR).agg(F.max("score_sbert").alias("score"))
+    return query_key(feedback).where(~_approved() & ((score > least) if most is None else score.between(least, most)))
 
 
-def hard_negatives(feedback: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+def _among_first(rows: DataFrame, queries: DataFrame | None, items: DataFrame | None) -> DataFrame:
+    """Pairs within the first ``HARD_RANK``, by the stored rank or by a rank counted over all items."""
+    if queries is None:
+        near = rows.where(F.col("rank_posicao") <= HARD_RANK)
+        return near.groupBy(PAIR).agg(F.max("score_sbert").alias("score"))
+    pairs = rows.groupBy(PAIR).agg(F.max("score_sbert").alias("score"))
+    path = shared_dir(rows.sparkSession, "rejected-pairs")
+    named = queries.select(*KEY, "vector").withColumn("query_id", F.xxhash64(*KEY))
+    pairs.withColumn("query_id", F.xxhash64(*KEY)).withColumnRenamed(ITEM, "cd_insumo").write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    asked = named.join(stored.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.min("vector").alias("vector"))
+    ranks = rank_pairs(stored, asked, items).where(F.col("knn_rank") <= HARD_RANK)
+    return stored.join(ranks, ["query_id", "cd_insumo"]).select(*KEY, F.col("cd_insumo").alias(ITEM), "score", "knn_rank")
+
+
+def hard_negatives(feedback: DataFrame, queries: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """Rejected pairs that score above 0.7 and stand among the first 30 of their query.
 
-    ``neighbours`` (query keys, ``cd_insumo``, ``knn_rank``) are fresh search results; without them
-    the rank stored with the vote decides.
+    With ``queries`` (the key columns and ``vector``) and ``items`` (``cd_insumo, vector``) the place of each
+    rejected pair is counted anew among all items and given as ``knn_rank``; pairs without both vectors
+    are left out.  Without them the rank stored with the vote decides, and votes without one are left out.
     """
-    found = _rejected_pairs(feedback, HARD_SCORE, None, neighbours)
+    found = _among_first(_rejected_pairs(feedback, HARD_SCORE, None), queries, items)
     return found.withColumns({"weight": F.lit(HARD_WEIGHT), "source": F.lit("hard_negative")})
 
 
-def semi_hard_negatives(feedback: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
-    """Rejected pairs that score from 0.5 to 0.7 among the first 30 of their query."""
-    found = _rejected_pairs(feedback, SEMI_HARD_SCORE, HARD_SCORE, neighbours)
+def semi_hard_negatives(feedback: DataFrame, queries: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """Rejected pairs that score from 0.5 to 0.7 among the first 30 of their query, as in ``hard_negatives``."""
+    found = _among_first(_rejected_pairs(feedback, SEMI_HARD_SCORE, HARD_SCORE), queries, items)
     return found.withColumns({"weight": F.lit(1.0), "source": F.lit("semi_hard_negative")})
 
 
@@ -216,6 +228,19 @@ def training_manifest(feedback: DataFrame) -> DataFrame:
     return total.withColumn("approved_share", F.try_divide(F.col("approved").cast("double"), F.col("votes").cast("double")))
 
 
+def ab_ranks(votes: DataFrame, variant: str) -> DataFrame:
+    """Per variant and stored rank (null where none is): votes, approved votes, and their share of the variant's approved.
+
+    The distribution behind ``ab_summary``'s mean.
+    """
+    counted = votes.groupBy(F.col(variant).alias("variant"), F.col("rank_posicao").alias("rank")).agg(
+        F.count("*").alias("votes"), F.count_if(_approved()).alias("approved"))
+    every = counted.groupBy("variant").agg(F.sum("approved").alias("_all"))
+    share = F.try_divide(F.lit(100.0) * F.col("approved"), F.col("_all").cast("double"))
+    return counted.join(every.withColumnRenamed("variant", "_variant"), F.col("variant").eqNullSafe(F.col("_variant"))).select(
+        "variant", "rank", "votes", "approved", share.alias("approved_pct"))
+
+
 def ab_summary(votes: DataFrame, variant: str) -> DataFrame:
     """Per variant: approval among the first five, mean rank of approved votes, and whether 200 votes are in."""
     top, good = F.coalesce(F.col("rank_posicao") <= 5, F.lit(False)), _approved()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogmatch.operators import agreement
 from catalogmatch.operators import curation as cu
 from catalogmatch.registered import tables as t
 from catalogmatch.registered.registry import register
@@ -61,7 +62,7 @@ def votes_per_query_hist(spark, sf_dir):
     return cu.votes_per_query_hist(feedback(spark, sf_dir))
 
 
-@register(f"""{WITH}, s AS (SELECT CASE WHEN yes THEN 'approved' ELSE 'rejected' END AS outcome, round(score_sbert, 4) AS s
+@register(f"""{WITH}, s AS (SELECT CASE WHEN yes THEN 'approved' ELSE 'rejected' END AS outcome, score_sbert AS s
         FROM keys WHERE score_sbert IS NOT NULL)
     SELECT outcome, count(*) AS votes, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS deviation, round(quantile_cont(s, 0.25), 6) AS q1,
     round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.75), 6) AS q3 FROM s GROUP BY outcome""")
@@ -118,13 +119,44 @@ def _mined(condition: str, weight: str, source: str) -> str:
         WHERE NOT yes AND rank_posicao <= 30 AND {condition} GROUP BY {PAIR}"""
 
 
-@register(_mined("score_sbert > 0.7::DOUBLE", "2.0", "hard_negative"))
+def asked(spark, sf_dir) -> DataFrame:
+    """A vector for every query that votes name: ``ITEM n`` asks with the query vector ``n``."""
+    number = F.expr("try_cast(substring(key_descricao, 6) as bigint)")
+    keys = cu.query_key(feedback(spark, sf_dir)).select(*cu.KEY).distinct().withColumn("query_id", number)
+    return keys.join(t.query_vectors(spark, sf_dir), "query_id").select(*cu.KEY, "vector")
+
+
+def _counted(condition: str, weight: str, source: str) -> str:
+    """Rejected pairs with their rank among all items, each similarity computed."""
+    return f"""{WITH}, {t.QUERY_VECTORS_SQL}, pairs AS (SELECT {PAIR}, try_cast(substr(key_descricao, 6) AS BIGINT) AS query_id, max(score_sbert) AS score
+            FROM keys WHERE NOT yes AND {condition} GROUP BY ALL),
+        asked AS (SELECT query_id, vector FROM qv SEMI JOIN pairs USING (query_id)),
+        sims AS (SELECT query_id, vec_id AS cd_insumo, round(list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM asked, embeddings),
+        ranks AS (SELECT query_id, cd_insumo AS match_cd_insumo, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cd_insumo) AS knn_rank FROM sims)
+        SELECT {PAIR}, round(score, 6) AS score, knn_rank, {weight}::DOUBLE AS weight, '{source}' AS source
+        FROM pairs JOIN ranks USING (query_id, match_cd_insumo) WHERE knn_rank <= 30"""
+
+
+HARD, SEMI_HARD = "score_sbert > 0.7::DOUBLE", "score_sbert BETWEEN 0.5::DOUBLE AND 0.7::DOUBLE"
+
+
+@register(_counted(HARD, "2.0", "hard_negative"))
 def hard_negatives(spark, sf_dir):
-    return rounded(cu.hard_negatives(feedback(spark, sf_dir)), "score")
+    return rounded(cu.hard_negatives(feedback(spark, sf_dir), asked(spark, sf_dir), t.item_vectors(spark, sf_dir)), "score")
 
 
-@register(_mined("score_sbert BETWEEN 0.5::DOUBLE AND 0.7::DOUBLE", "1.0", "semi_hard_negative"))
+@register(_counted(SEMI_HARD, "1.0", "semi_hard_negative"))
 def semi_hard_negatives(spark, sf_dir):
+    return rounded(cu.semi_hard_negatives(feedback(spark, sf_dir), asked(spark, sf_dir), t.item_vectors(spark, sf_dir)), "score")
+
+
+@register(_mined(HARD, "2.0", "hard_negative"))
+def hard_negatives_by_stored_rank(spark, sf_dir):
+    return rounded(cu.hard_negatives(feedback(spark, sf_dir)), "score")
+
+
+@register(_mined(SEMI_HARD, "1.0", "semi_hard_negative"))
+def semi_hard_negatives_by_stored_rank(spark, sf_dir):
     return rounded(cu.semi_hard_negatives(feedback(spark, sf_dir)), "score")
 
 
@@ -167,6 +199,12 @@ def ab_summary(spark, sf_dir):
     return rounded(cu.ab_summary(by_variant(spark, sf_dir), "variant"), "approved_rank", "approved_pct")
 
 
+@register(f"""{WITH}, c AS (SELECT variant, rank_posicao AS rank, count(*) AS votes, count(*) FILTER (yes) AS approved FROM keys GROUP BY ALL)
+    SELECT *, round(100.0::DOUBLE * approved / nullif(sum(approved) OVER (PARTITION BY variant), 0), 6) AS approved_pct FROM c""")
+def ab_ranks(spark, sf_dir):
+    return rounded(cu.ab_ranks(by_variant(spark, sf_dir), "variant"), "approved_pct")
+
+
 @register(f"""{WITH}, half AS (SELECT min(timestamp_utc) + (max(timestamp_utc) - min(timestamp_utc)) / 2 AS h FROM keys)
     SELECT count(*) FILTER (date_trunc('day', timestamp_utc) > date_trunc('day', h)) AS new_votes,
         count(*) FILTER (date_trunc('day', timestamp_utc) > date_trunc('day', h)) >= 500 AS retrain FROM keys, half""")
@@ -199,6 +237,13 @@ def annotator_agreement(spark, sf_dir):
     return rounded(cu.annotator_agreement(feedback(spark, sf_dir)), "agreement")
 
 
+@register(f"""{WITH}, {PER_SESSION}, v AS (SELECT a.session_id AS session_a, b.session_id AS session_b, count(*) AS shared,
+        count(*) FILTER (a.yes = b.yes) AS agreed FROM session_votes a JOIN session_votes b USING ({PAIR}) WHERE a.session_id < b.session_id GROUP BY 1, 2)
+    SELECT *, round(agreed::DOUBLE / shared, 6) AS agreement FROM v WHERE shared >= 3""")
+def session_agreement(spark, sf_dir):
+    return rounded(agreement.session_agreement(feedback(spark, sf_dir)), "agreement")
+
+
 @register(f"""{WITH}, {PER_SESSION}, v AS (SELECT session_id, yes = (2 * approved > sessions) AS same
         FROM session_votes JOIN totals USING ({PAIR}) WHERE 2 * approved <> sessions)
     SELECT session_id, count(*) AS votes, round(avg(same::INT), 6) AS weight FROM v GROUP BY 1""")
