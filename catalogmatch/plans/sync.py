@@ -40,7 +40,8 @@ class Stores:
         return cls(*[f"{folder}/{kind}" for kind in _KINDS if cache or kind != "cache"])
 
     def read(self, spark: SparkSession, kind: str) -> DataFrame:
-        return readers.read_store(spark, getattr(self, kind), _KINDS[kind])
+        read = readers.read_small if kind == "unit_map" else readers.read_store
+        return read(spark, getattr(self, kind), _KINDS[kind])
 
     def create(self, spark: SparkSession) -> None:
         """Create the stores that do not exist yet, empty."""

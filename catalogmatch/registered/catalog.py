@@ -118,7 +118,7 @@ def sink_replace_small(spark, sf_dir):
     path = shared_dir(spark, "units")
     writers.sink_replace_small(stored_units(spark, sf_dir), path)
     writers.sink_replace_small(st.unit_map_distinct(t.catalog_raw(spark, sf_dir)), path)
-    return spark.read.parquet(path)
+    return readers.read_small(spark, path)
 
 
 @register(q.with_(RAW, t.FEEDBACK_SQL, then="""SELECT 'catalog_display' AS store, count(*) AS n FROM raw WHERE insumo IS NOT NULL

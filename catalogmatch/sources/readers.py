@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from catalogmatch import schemas
 from catalogmatch.operators import sets
+from catalogmatch.sources import versions
 
 
 def read_store(spark: SparkSession, source: str, schema: StructType | None = None) -> DataFrame:
@@ -21,6 +22,12 @@ def read_store(spark: SparkSession, source: str, schema: StructType | None = Non
     return reader.parquet(source)
 
 
+def read_small(spark: SparkSession, source: str, schema: StructType | None = None) -> DataFrame:
+    """What ``sink_replace_small`` published last; a path without versions is read as it is."""
+    known = versions.complete(spark, source) if "/" in source else []
+    return read_store(spark, versions.folder(source, known[-1]) if known else source, schema)
+
+
 def scan_catalog(spark: SparkSession, source: str) -> DataFrame:
     """The raw item table."""
     return read_store(spark, source, schemas.CATALOG_RAW)

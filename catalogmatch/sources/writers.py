@@ -6,12 +6,15 @@ half-way can simply run again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from catalogmatch import schemas
 from catalogmatch.session import shared_dir
+from catalogmatch.sources import versions
 
 
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -24,9 +27,27 @@ def sink_append(df: DataFrame, target: str) -> None:
 
 
 def sink_replace_small(df: DataFrame, target: str) -> None:
-    """Replace the content of a small table such as the unit map."""
-    writer = df.select("cd_medida", "medida").write.mode("overwrite")
-    writer.parquet(target) if "/" in target else writer.saveAsTable(target)
+    """Replace the content of a small table such as the unit map.
+
+    The new content is written aside and then published, so readers have the old one until the new one is
+    whole, and a job that is lost changes nothing.  Below a path every content is a folder
+    ``version=n``; it counts once Spark has marked it as complete, and ``read_small`` takes the last
+    one that does.  The one before stays for readers under way, older ones go.  A table is pointed
+    to the new folder.
+    """
+    rows = df.select("cd_medida", "medida")
+    spark = df.sparkSession
+    if "/" not in target:
+        if not spark.catalog.tableExists(target):
+            spark.createDataFrame([], rows.schema).write.saveAsTable(target)
+        path = f"{versions.table_folder(spark, target)}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        spark.sql(f"ALTER TABLE {target} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(target)
+        return
+    known = versions.every(spark, target)
+    rows.write.mode("overwrite").parquet(versions.folder(target, max(known, default=0) + 1))
+    versions.drop(spark, target, versions.complete(spark, target)[:-2])
 
 
 def split_bad_vectors(items: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -66,13 +87,56 @@ def sink_vectors_checked(items: DataFrame, target: str, model_name: str, dim: in
     return staged.count()
 
 
-def sink_feedback(nested: DataFrame, target: str, jsonl: str | None = None) -> None:
-    """Append nested feedback to the JSON-lines folder first, then flattened to the store."""
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def _unseen(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return rows if ids is None else rows.join(ids.select("feedback_id"), "feedback_id", "left_anti").select(*rows.columns)
+
+
+def _other_batches(spark: SparkSession, path: str, batch: str, kind: str) -> DataFrame | None:
+    """Ids in the folder of another batch; None where there is none."""
+    if not any(name.startswith("batch=") and name != f"batch={batch}" for name in versions.children(spark, path)):
+        return None
+    return spark.read.format(kind).schema("feedback_id string, batch string").load(path).where(F.col("batch") != batch)
+
+
+def sink_feedback(nested: DataFrame, target: str, jsonl: str | None = None, batch: str | None = None) -> bool:
+    """Append nested feedback to the JSON-lines folder first, then flattened to the store; each vote once.
+
+    A batch has one folder ``batch=...`` in either place, and a mark beside the store when both are in.  A
+    job lost between the two runs again with the same rows (or the same ``batch`` name): it replaces its own
+    folders and finds votes of other batches by ``feedback_id``, so both places end with every vote once.
+    A batch that is marked is not written again; the result tells whether anything was.  The last of
+    several votes with one id counts; votes without an id are kept as they are.
+
+    A store that is a table takes the votes whose id it does not hold.
+    """
     from catalogmatch.sources.readers import flatten_feedback
 
+    spark = nested.sparkSession
+    path = shared_dir(spark, "feedback-batch")
+    order = Window.partitionBy("feedback_id").orderBy(F.desc("timestamp"), F.desc(F.to_json(F.struct(*nested.columns))))
+    last = nested.where("feedback_id is not null").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    last.unionByName(nested.where("feedback_id is null")).write.parquet(path)
+    rows = spark.read.schema(nested.schema).parquet(path)  # both places get these
+    if batch is None:
+        seen = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("feedback_id")).alias("h")).first()
+        batch = f"{seen.n}-{(seen.h or 0) & (2**64 - 1):016x}"
+    mark = f"{target.rstrip('/')}-batches/{batch}" if "/" in target else f"{jsonl.rstrip('/')}-batches/{batch}" if jsonl else None
+    if mark and versions.exists(spark, f"{mark}/_SUCCESS"):
+        return False
     if jsonl:
-        nested.write.mode("append").json(jsonl, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    sink_append(flatten_feedback(nested), target)
+        fresh = _unseen(rows, _other_batches(spark, jsonl, batch, "json"))
+        fresh.write.mode("overwrite").json(f"{jsonl}/batch={batch}", timestampFormat=JSON_TIME)
+    if "/" in target:
+        fresh = flatten_feedback(_unseen(rows, _other_batches(spark, target, batch, "parquet")))
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+    else:
+        sink_append(flatten_feedback(_unseen(rows, spark.table(target) if spark.catalog.tableExists(target) else None)), target)
+    if mark:
+        spark.range(0).write.mode("overwrite").parquet(mark)
+    return True
 
 
 def export_results(results: DataFrame, path: str) -> None:

@@ -34,7 +34,8 @@ def sync_stream(
         known = st.unit_map_distinct(stored.unionByName(batch.select("cd_medida", "medida")))
         added = sets.unit_map_diff(known, stored).where("change = 'added'").drop("change")
         sync_catalog(batch, stores, encoder, model_name, dim, unit_source=stored)
-        writers.sink_append(added, stores.unit_map)
+        if not added.isEmpty():
+            writers.sink_replace_small(stored.unionByName(added), stores.unit_map)
 
     return (
         raw_stream.writeStream.foreachBatch(on_batch)

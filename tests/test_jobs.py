@@ -140,7 +140,7 @@ def test_sync_completes_a_run_lost_before_the_vectors(spark, raw):
     def broken(df):
         return encoder(df).withColumn("vector", F.slice("vector", 1, 3))
 
-    with pytest.raises(ValueError, match=r"4 vectors do not have 32 numbers; ids \(up to 5\): \[1, 2, 3, 5\]"):
+    with pytest.raises(ValueError, match=r"4 vectors do not have 32 finite numbers; ids \(up to 5\): \[1, 2, 3, 5\]"):
         sync.sync_catalog(raw, stores, broken, "m", DIM)
     assert counts(spark, stores)["vectors"] == 0
     assert sync.sync_catalog(raw, stores, encoder, "m", DIM).first().new == 4
