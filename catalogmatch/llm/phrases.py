@@ -35,7 +35,7 @@ from catalogmatch.llm.staging import stage
 
 SHARDS = 2
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
-HELD = 1 << 22  # hashes counted together in a task
+HELD = 3 << 20  # hashes counted together in a task
 GROUPS = 1024  # of documents; each phrase remembers one that has it, to be spelled from
 _LETTERS = table(b"", b".,;:!?\x0b\x0c\r")
 
@@ -87,8 +87,15 @@ def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Itera
         groups.append(at.astype(np.int16))
 
     def counted() -> pa.RecordBatch:
-        h, first, c = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-        return pa.record_batch({"h": h.view(np.int64), "c": c.astype(np.int64), "g": np.concatenate(groups)[first].astype(np.int32)})
+        h, g = np.concatenate(held), np.concatenate(groups)
+        held.clear()
+        groups.clear()
+        order = np.argsort(h)
+        h = h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        return pa.record_batch({"h": h[at].view(np.int64), "c": np.diff(np.append(at, len(h))), "g": g[order[at]].astype(np.int32)})
 
     for batch in batches:
         texts, (langs, group) = batch.column("text"), _columns(batch, "lang", "group")
@@ -109,7 +116,6 @@ def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Itera
                     hold(x.of[n + 1][active], own[:len(active)][active])
             if sum(map(len, held)) >= HELD:
                 yield counted()
-                held, groups = [], []
     if held:
         yield counted()
 
