@@ -5,6 +5,7 @@ phrases.  A phrase begins at an *anchor*: the byte with the least hash of its ne
 ``tau`` neighbours.  Whether and where the next anchor follows is decided by the ``tau + 8`` bytes from
 an anchor on, so equal strings of ``window`` bytes have the same anchors inside, whatever their offset.
 
+0. *Copies.*  A text that is found twice is a repeat as a whole; one of its copies takes part below.
 1. *Candidates.*  All windows that begin up to a given anchor hold the ``window - tau + 1`` bytes after
    it, their core.  Anchors whose core is found once in the corpus are left alone from here on.
 2. *Sort sampled triples.*  Of the anchors of a text those with a number not divisible by three are
@@ -20,7 +21,7 @@ an anchor on, so equal strings of ``window`` bytes have the same anchors inside,
    compared one by one by their own bytes, with those others that have the same core.
 
 Every order is a range partitioning of distinct strings counted before; no group of texts is gathered,
-and lists go back to a text by a hash of id and text, so none outgrows one text.  Bitmaps (``bits``) of
+and lists go back to a text by its hash, so none outgrows one text.  Bitmaps (``bits``) of
 bounded size spare needless rows; joins decide.
 
 Defined results: a null text is empty and has no bytes; texts shorter than ``window`` stay whole; rows
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,8 +160,14 @@ def _counted(name: str, hashes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch({name: h.view(np.int64), "c": c.astype(np.int64)})
 
 
-def _cores(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _once(batches: Iterator[pa.RecordBatch], copies) -> Iterator[pa.RecordBatch]:
+    """Rows whose text surely has no copy; all where ``copies`` is None."""
     for batch in batches:
+        yield batch if copies is None else batch.filter(pa.array(~bits.member(copies.value, batch.column("key").to_numpy().view(np.uint64))))
+
+
+def _cores(batches: Iterator[pa.RecordBatch], window: int, copies) -> Iterator[pa.RecordBatch]:
+    for batch in _once(batches, copies):
         held = [x.cores()[x.windowed] for _, _, x in _slices(batch, window)]
         if held:
             yield _counted("core", held)
@@ -170,9 +177,9 @@ def _candidates(x: _Slice, cores) -> np.ndarray:
     return x.windowed & bits.member(cores.value, x.cores())
 
 
-def _hopeful(batches: Iterator[pa.RecordBatch], window: int, cores) -> Iterator[pa.RecordBatch]:
+def _hopeful(batches: Iterator[pa.RecordBatch], window: int, cores, copies) -> Iterator[pa.RecordBatch]:
     """The rows whose text has a candidate."""
-    for batch in batches:
+    for batch in _once(batches, copies):
         keep = np.zeros(batch.num_rows, bool)
         for low, _, x in _slices(batch, window):
             keep[low + x.text[_candidates(x, cores)]] = True
@@ -271,14 +278,14 @@ def suffix_names(hopeful: DataFrame, cores, window: int = WINDOW) -> DataFrame:
     of one name that need it.
     """
     option = {"window": window, "cores": cores}
-    places = hopeful.mapInArrow(partial(_places, **option), "key long, number int, at long, triple long").distinct()
+    places = hopeful.mapInArrow(partial(_places, **option), "key long, number int, at long, triple long")
     strings = hopeful.mapInArrow(partial(_triples, **option), "triple long, bytes binary, c int")
     order = strings.groupBy("triple").agg(F.min("bytes").alias("bytes"), F.sum("c").alias("c"))
     order = order.repartitionByRange("bytes").sortWithinPartitions("bytes")
     triples = stage(order.select("triple", (F.col("c") > 1).alias("shared"), F.monotonically_increasing_id().alias("name")), "suffix-triples")
     one = F.struct("number", "at", "name", "shared")
     named = stage(places.join(triples, "triple").groupBy("key").agg(F.collect_list(one).alias("names")), "suffix-places")
-    finer, step = None, 3
+    done, finer, step = [], None, 3
     while True:
         known = named if finer is None else named.join(finer, "key")
         three = ["a", "a2", "b", "b2", "c", "c2"]
@@ -290,9 +297,11 @@ def suffix_names(hopeful: DataFrame, cores, window: int = WINDOW) -> DataFrame:
         own = rows.join(names.drop("open").join(again, "a"), three).select("key", F.struct("number", "name", "more").alias("one"))
         if finer is not None:  # those refined before and not now keep their names
             own = own.unionByName(finer.select("key", F.explode("finer").alias("one")).where("not one.more"))
-        finer, step = stage(own.groupBy("key").agg(F.collect_list("one").alias("finer")), "suffix-finer"), 3 * step
+        lists = stage(own.groupBy("key").agg(F.collect_list("one").alias("finer"), F.max("one.more").alias("more")), "suffix-finer")
+        done.append(lists.where("not more").drop("more"))
+        finer, step = lists.where("more").drop("more"), 3 * step
         if not names.where("open").limit(1).count():
-            return named.join(finer, "key", "left")
+            return named.join(reduce(DataFrame.unionByName, done), "key", "left")
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int, cores) -> Iterator[pa.RecordBatch]:
@@ -410,20 +419,30 @@ def _lists(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return rows.join(values, "value").groupBy("key").agg(F.collect_set("value").alias(name))
 
 
-def repeated(source: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
-    """``key, known, single``: of each text of ``source(key, text)`` the hashes of its repeated windows, by anchor and one by one.
+def repeated(texts: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object]:
+    """``key, copied, known, single``: what repeats of the texts of ``texts(key, text)``, whose ``key`` is a hash of the text.
 
-    Also the bitmap of repeated cores, a broadcast that marks the candidates.
+    ``copied`` texts are found more than once.  For the others there are the hashes of their repeated windows,
+    by anchor and one by one; also returned is the bitmap of repeated cores, which marks the candidates.
     """
-    context = source.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
 
     def bitmap(values: DataFrame, column: str):
         return context.broadcast(bits.bitmap(values, column, bits.size_for(values.count())))
 
-    cores = source.select("text").mapInArrow(partial(_cores, window=window), "core long, c long")
+    copied = stage(texts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "suffix-copied")
+    copies = bitmap(copied, "key")
+    one = texts.mapInArrow(partial(_touched, touched=copies), "key long, text string").groupBy("key").agg(F.min("text").alias("text"))
+    one = stage(one, "suffix-copies")
+
+    def every(function, schema: str, **option) -> DataFrame:
+        return texts.mapInArrow(partial(function, window=window, copies=copies, **option), schema).unionByName(
+            one.mapInArrow(partial(function, window=window, copies=None, **option), schema))
+
+    cores = every(_cores, "core long, c long")
     cores = bitmap(stage(cores.groupBy("core").agg(F.sum("c").alias("c")).where("c > 1").select("core"), "suffix-cores"), "core")
     option = {"window": window, "cores": cores}
-    hopeful = stage(source.mapInArrow(partial(_hopeful, **option), "key long, text string"), "suffix-texts")
+    hopeful = stage(every(_hopeful, "key long, text string", cores=cores), "suffix-texts")
     rows = hopeful.join(suffix_names(hopeful, cores, window), "key").mapInArrow(
         partial(_suffixes, **option), "left long, name long, finer long, windows long, c long")
     place = ["left", "name", "finer"]
@@ -440,19 +459,23 @@ def repeated(source: DataFrame, window: int = WINDOW) -> tuple[DataFrame, object
     singles = singles.groupBy("value").agg(F.sum("c").alias("c"), F.max("open").alias("open")).where("c > 1 and open").select("value")
     singles = stage(singles, "suffix-singles")
     pairs = texts.mapInArrow(partial(_singles_here, **option, found=bitmap(singles, "value")), "value long, key long")
-    known = texts.where("known is not null").select("key", "known").dropDuplicates(["key"])
-    return stage(known.join(_lists(pairs, singles, "single"), "key", "full"), "suffix-lists"), cores
+    lists = texts.where("known is not null").select("key", "known").join(_lists(pairs, singles, "single"), "key", "full")
+    return stage(lists.join(copied.withColumn("copied", F.lit(True)), "key", "full"), "suffix-lists"), cores
 
 
 def _removal(batches: Iterator[pa.RecordBatch], window: int, cores, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
         for low, high, x in _slices(batch, window):
-            some = batch.column("known").slice(low, high - low).is_valid().to_numpy(zero_copy_only=False) \
-                | batch.column("single").slice(low, high - low).is_valid().to_numpy(zero_copy_only=False)
+            copied, known, single = (batch.column(name).slice(low, high - low).is_valid().to_numpy(zero_copy_only=False) for name in ("copied", "known", "single"))
+            some = (known | single) & ~copied
             edge = np.zeros(len(x.data) + 1, np.int64)
+            copied &= np.diff(x.at) >= window
+            np.add.at(edge, x.at[:-1][copied], 1)
+            np.add.at(edge, x.at[1:][copied], -1)
             if some.any():
                 settled, still = _open(x, cores, batch.column("known").slice(low, high - low))
+                settled = settled[some[x.text[settled]]]
                 np.add.at(edge, x.low[settled], 1)
                 np.add.at(edge, x.last[settled] + window, -1)
                 still = still[some[x.text[still]]]
@@ -506,14 +529,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, digest: bool =
     """
     if window < 32:
         raise ValueError("windows of fewer than 32 bytes are not supported")
-    key = F.xxhash64("doc_id", "text").alias("key")
-    lists, cores = repeated(docs.select(key, "text"), window)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    lists, cores = repeated(rows.select("key", "text"), window)
     touched = docs.sparkSession.sparkContext.broadcast(bits.bitmap(lists, "key", bits.size_for(lists.count())))
     last = ("kept_sha256 string", "kept_sha256") if digest else ("kept binary", "kept")
     columns = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]}"
     removal = partial(_removal, window=window, cores=cores, digest=digest)
-    rows = docs.select("doc_id", "text", key)
     # texts without lists need not be moved to where lists are
     whole_rows = rows.mapInArrow(partial(_untouched, touched=touched, digest=digest), columns)
     some = rows.mapInArrow(partial(_touched, touched=touched), "doc_id long, text string, key long").join(lists, "key", "left")
-    return whole_rows.unionByName(some.select("doc_id", "text", "known", "single").mapInArrow(removal, columns))
+    return whole_rows.unionByName(some.select("doc_id", "text", "copied", "known", "single").mapInArrow(removal, columns))

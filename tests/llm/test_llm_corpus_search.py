@@ -82,7 +82,7 @@ def test_suffix_order_settles_most_windows_of_a_family(spark):
     rng = random.Random(5)
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     rows = [(i, f"{i:05d}" * 8 + base + f"{i:05d}" * 8, None) for i in range(60)]
-    source = spark.createDataFrame(rows, DOCS).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    source = spark.createDataFrame(rows, DOCS).select(F.xxhash64("text").alias("key"), "text")
     lists, _ = suffixes.repeated(source)
     found = lists.select(F.size(F.coalesce("known", F.array().cast("array<long>"))).alias("known")).collect()
     assert len(found) == 60
