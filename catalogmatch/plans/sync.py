@@ -15,6 +15,7 @@ from catalogmatch.plans.standardization import standardize_catalog
 from catalogmatch.session import shared_dir, wide_tasks
 from catalogmatch.sources import readers, writers
 
+BUCKETS = 256  # about a million items each at 256 million
 _KINDS = {
     "display": schemas.CATALOG_DISPLAY,
     "processed": schemas.CATALOG_PROCESSED,
@@ -26,13 +27,23 @@ _KINDS = {
 
 @dataclass(frozen=True)
 class Stores:
-    """Where the synced data lives: table names or paths."""
+    """Where the synced data lives: table names or paths.
+
+    Tables made by ``bucketed`` keep the rows of an id in one of ``buckets`` files that every store has
+    alike, so the stores meet on their ids without moving a row, and of new rows only these move.
+    """
 
     display: str
     processed: str
     vectors: str
     unit_map: str
     cache: str | None = None
+    buckets: int = 0
+
+    @classmethod
+    def bucketed(cls, database: str, buckets: int = BUCKETS, cache: bool = True) -> "Stores":
+        """Tables of a database, bucketed by id when ``create`` makes them."""
+        return cls(*[f"{database}.{kind}" for kind in _KINDS if cache or kind != "cache"], buckets=buckets)
 
     @classmethod
     def below(cls, folder: str, cache: bool = True) -> "Stores":
@@ -49,6 +60,9 @@ class Stores:
             target = getattr(self, kind)
             if target is None:
                 continue
+            if self.buckets and sets.ID in schema.names:
+                writers.create_bucketed(spark, target, schema, sets.ID, self.buckets)
+                continue
             writer = spark.createDataFrame([], schema).write.mode("ignore")
             writer.parquet(target) if "/" in target else writer.saveAsTable(target)
 

@@ -57,6 +57,21 @@ def sync_idle(spark, sf_dir):
     return sync.sync_catalog(raw, stores, encoder, MODEL, DIM)
 
 
+def _bucketed_stores(spark: SparkSession) -> sync.Stores:
+    folder = shared_dir(spark, "buckets")
+    database = folder.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    return sync.Stores.bucketed(database, buckets=8)
+
+
+@register(q.with_(CATALOG, then=STATS.format(new="0", total=ALL, first="false", rehydrated="0")))
+def sync_idle_bucketed(spark, sf_dir):
+    """Nothing new, in tables bucketed by id."""
+    stores, raw = _bucketed_stores(spark), t.catalog_raw(spark, sf_dir)
+    sync.sync_catalog(raw, stores, encoder, MODEL, DIM)
+    return sync.sync_catalog(raw, stores, encoder, MODEL, DIM)
+
+
 SYNCED = ", ".join([CATALOG, q.hash_vectors(
     "hv", "SELECT cd_insumo, insumo_descricao || ' ' || marca || ' ' || medida AS txt FROM processed", "cd_insumo", DIM)])
 

@@ -20,10 +20,34 @@ from catalogmatch.sources import versions
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def create_bucketed(spark: SparkSession, table: str, schema: StructType, key: str, buckets: int) -> None:
+    """Create a table whose rows lie in ``buckets`` sorted buckets of ``key``, where it does not exist yet."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS")
+
+
+def _buckets(spark: SparkSession, table: str) -> tuple[list[str], int]:
+    """The columns a table is bucketed by, and the number of buckets."""
+    if not spark.catalog.tableExists(table):
+        return [], 0
+    keys = [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
+    known = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").collect() if keys else []
+    return keys, int(known[0].data_type) if known else 0
+
+
 def sink_append(df: DataFrame, target: str) -> None:
-    """Append rows to a table or parquet path; an empty input adds no rows."""
-    writer = df.write.mode("append")
-    writer.parquet(target) if "/" in target else writer.saveAsTable(target)
+    """Append rows to a table or parquet path; an empty input adds no rows.
+
+    Rows for a bucketed table are brought together by bucket first, so an append adds a file per bucket.
+    """
+    if "/" in target:
+        df.write.mode("append").parquet(target)
+        return
+    keys, buckets = _buckets(df.sparkSession, target)
+    if buckets:
+        df.select(*df.sparkSession.table(target).columns).repartition(buckets, *keys).write.insertInto(target)
+    else:
+        df.write.mode("append").saveAsTable(target)
 
 
 def sink_replace_small(df: DataFrame, target: str) -> None:
