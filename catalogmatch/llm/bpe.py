@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from catalogmatch.llm.words import slices
 
-REMEMBERED = 200_000
+REMEMBERED = 300_000  # in each of two tables
 REMEMBERED_CHARS = 64
 
 # ---- fixed values: the public pre-token pattern of byte-level BPE ----
@@ -252,7 +252,11 @@ class Vocabulary:
 
 
 class _Known(dict):
-    """Ids of pre-tokens by text; forgets all but the added tokens when full."""
+    """Ids of pre-tokens by text.
+
+    When full it starts afresh and keeps the full table as the older one; what is met again moves over,
+    so common pre-tokens are never merged again and the two tables have a fixed bound.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.of = vocabulary
@@ -260,6 +264,7 @@ class _Known(dict):
         self.forget()
 
     def forget(self) -> None:
+        self.older = dict(self)
         self.clear()
         self.update({t: i.to_bytes(4, "little") for t, i in self.of.added.items()})
 
@@ -267,7 +272,10 @@ class _Known(dict):
         """Merge those of ``pieces`` that are short and not known yet, all at once."""
         if len(self) > REMEMBERED:
             self.forget()
-        new = [piece for piece in pieces if piece not in self and len(piece) <= REMEMBERED_CHARS]
+        missing = pieces.difference(self)
+        again = missing.intersection(self.older)
+        self.update((piece, self.older[piece]) for piece in again)
+        new = [piece for piece in missing - again if len(piece) <= REMEMBERED_CHARS]
         raw = [piece.encode() for piece in new]
         size = np.array([len(r) for r in raw], np.int64)
         for low, high in zip((0, *_WIDTHS), _WIDTHS):

@@ -89,27 +89,38 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
+def _rows_of(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix of 32-bit numbers as binary values."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * 4 * matrix.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix, "<u4"))])
+
+
 def _packed(pieces: list[tuple[int | None, int, bytes]], length: int, pad: int) -> Iterator[pa.RecordBatch]:
     sizes = np.array([len(ids) // 4 for _, _, ids in pieces])
     rows = best_fit_decreasing(sizes, length)
-    padding = pad.to_bytes(4, "little")
-    for low in range(0, len(rows), 512):
-        out = {name: [] for name in ("n_segments", "n_ids", "ids", "cu_seqlens", "position_ids", "segments")}
-        for row in rows[low:low + 512]:
-            n = sizes[row]
-            total = int(n.sum())
-            out["n_segments"].append(len(row))
-            out["n_ids"].append(total)
-            out["ids"].append(b"".join(pieces[p][2] for p in row) + padding * (length - total))
-            out["cu_seqlens"].append(np.concatenate([[0], np.cumsum(n)]).tolist())
-            places = np.concatenate([*(np.arange(k) for k in n), np.zeros(length - total)])
-            out["position_ids"].append(places.astype("<u4").tobytes())
-            out["segments"].append([{"doc_id": pieces[p][0], "piece": pieces[p][1], "n_ids": int(sizes[p])} for p in row])
-        segment = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_ids", pa.int32())])
+    step = max(1, min(512, (1 << 28) // length))  # rows of a batch: offsets stay far below 2 GB
+    for low in range(0, len(rows), step):
+        some = rows[low:low + step]
+        count = np.array([len(row) for row in some])
+        order = [p for row in some for p in row]
+        size = sizes[order]
+        row = np.repeat(np.arange(len(some)), count)
+        first = np.append(0, np.cumsum(count))  # the first piece of each row
+        ends = np.append(0, np.cumsum(size))
+        start = ends[:-1] - ends[first[:-1]][row]  # of each piece within its row
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        at = np.repeat(row * length + start, size) + place
+        ids, places = np.full((len(some), length), pad, "<u4"), np.zeros((len(some), length), "<u4")
+        ids.flat[at] = np.frombuffer(b"".join(pieces[p][2] for p in order), "<u4")
+        places.flat[at] = place
+        lengths = np.zeros(len(order) + len(some), np.int32)  # a leading 0 for each row, then the end of each piece
+        lengths[np.arange(len(order)) + row + 1] = start + size
+        segments = pa.StructArray.from_arrays(
+            [pa.array([pieces[p][0] for p in order], pa.int64()), pa.array([pieces[p][1] for p in order], pa.int32()), pa.array(size.astype(np.int32))], ["doc_id", "piece", "n_ids"])
         yield pa.record_batch({
-            "n_segments": pa.array(out["n_segments"], pa.int64()), "n_ids": pa.array(out["n_ids"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()),
-            "cu_seqlens": pa.array(out["cu_seqlens"], pa.list_(pa.int32())), "position_ids": pa.array(out["position_ids"], pa.binary()),
-            "segments": pa.array(out["segments"], pa.list_(segment))})
+            "n_segments": pa.array(count.astype(np.int64)), "n_ids": pa.array((ends[first[1:]] - ends[first[:-1]]).astype(np.int64)), "ids": _rows_of(ids),
+            "cu_seqlens": pa.ListArray.from_arrays((first + np.arange(len(first))).astype(np.int32), pa.array(lengths)),
+            "position_ids": _rows_of(places), "segments": pa.ListArray.from_arrays(first.astype(np.int32), segments)})
 
 
 def _packing(batches: Iterator[pa.RecordBatch], content, length: int, pad: int, stretch: int) -> Iterator[pa.RecordBatch]:
