@@ -10,16 +10,19 @@ item's words.
 
 The benchmark is the query set: it is cut into blocks of ``BLOCK_WORDS`` words, each broadcast, and
 every block meets all documents where these are scanned; each row carries its best item from block to
-block, so the number of blocks changes no result.  No shuffle of documents, whatever passage
-many of them share.
+block, so the number of blocks changes no result.  Between blocks the rows are written down and the block is
+let go.  No shuffle of documents, whatever passage many of them share.
 
 Defined results: a null or empty text has no tiles (item null, coverage 0); of items covered alike
 the smallest id is named, and of its texts covered alike the longest; items without text, or with fewer words than a match, cannot be found;
-items without id are left out; repeated rows give repeated results.
+items without id are left out; repeated rows give repeated results; other columns are left alone and may
+have any name.  Whole texts are searched; a long text of few different words costs the product of the places
+that it and an item have for a seed, and an item is short.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogmatch.llm import words as w
+from catalogmatch.llm.staging import stage
 
 MATCH = 4
 COVERAGE = 0.6
@@ -73,21 +77,35 @@ def _matches(a, b, used_a, used_b, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _free_runs(busy: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Start and length of the runs of at least ``least`` words that are not busy."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], busy, [True]]).astype(np.int8)))
+    for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if stop - start >= least:
+            yield start, stop - start
+
+
 def tile(a: np.ndarray, b: np.ndarray, least: int = MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two arrays of word hashes: ``(length, place in a, place in b)`` of each tile."""
+    """Greedy tiling of two arrays of word hashes: ``(length, place in a, place in b)`` of each tile.
+
+    The longest match goes first, the one with the least places among equals.  What a tile leaves of a match
+    goes back into the queue by its own length, before shorter matches are taken.
+    """
     used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     tiles, size = [], max(least, min(len(a), len(b)))
     while True:
-        found = sorted(_matches(a, b, used_a, used_b, size), key=lambda m: (-m[0], m[1], m[2]))
-        again = False
-        for length, p, q in found:
-            if used_a[p:p + length].any() or used_b[q:q + length].any():
-                again = True  # what a tile left of it may still be long enough
+        queue = [(-length, p, q) for length, p, q in _matches(a, b, used_a, used_b, size)]
+        heapq.heapify(queue)
+        while queue:
+            length, p, q = heapq.heappop(queue)
+            length = -length
+            busy = used_a[p:p + length] | used_b[q:q + length]
+            if not busy.any():
+                used_a[p:p + length] = used_b[q:q + length] = True
+                tiles.append((length, p, q))
                 continue
-            used_a[p:p + length] = used_b[q:q + length] = True
-            tiles.append((length, p, q))
-        if again:
-            continue
+            for start, rest in _free_runs(busy, size):
+                heapq.heappush(queue, (-rest, p + start, q + start))
         if size == least:
             return tiles
         size = max(least, size // 2)
@@ -201,6 +219,15 @@ def _blocks(benchmark: DataFrame, match: int, block_words: int):
             yield benchmark.sparkSession.sparkContext.broadcast(Items([r.item_id for r in own], [r.text for r in own], match))
 
 
+def _next(rows: DataFrame, before) -> DataFrame:
+    """Write the rows down when a block before this one is done with, so no two blocks are held at once."""
+    if before is None:
+        return rows
+    written = stage(rows, "tiles")
+    before.unpersist()
+    return written
+
+
 def judge(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, match: int = MATCH,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, n_covered, n_item_words, contaminated``, one row for each row of ``docs``.
@@ -210,15 +237,21 @@ def judge(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, mat
     zero = F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("item_id"),
                        zero.alias("n_covered"), zero.alias("n_item_words"))
+    before = None
     for block in _blocks(benchmark, match, block_words):
+        rows = _next(rows, before)
         rows = rows.mapInArrow(partial(_judged, items=block, coverage=coverage),
                                "doc_id long, text string, item_id long, n_covered long, n_item_words long")
+        before = block
     return rows.select("doc_id", "item_id", "n_covered", "n_item_words", F.col("item_id").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, match: int = MATCH,
                       block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that no benchmark item covers, with all their columns."""
+    before = None
     for block in _blocks(benchmark, match, block_words):
+        docs = _next(docs, before)
         docs = docs.mapInArrow(partial(_clean, items=block, coverage=coverage), docs.schema)
+        before = block
     return docs

@@ -105,7 +105,7 @@ def plain_tiles(a, b, least):
                 if n > best[0]:
                     best = (n, p, q)
         if best[0] < least:
-            return sum(n for n, _, _ in out)
+            return out
         out.append(best)
         used_a |= set(range(best[1], best[1] + best[0]))
         used_b |= set(range(best[2], best[2] + best[0]))
@@ -114,21 +114,22 @@ def plain_tiles(a, b, least):
 def test_tiling_of_reordered_passages():
     item = w.windows(np.arange(40, dtype=np.uint64), 1)
     moved = np.concatenate([item[25:], w.windows(np.arange(90, 99, dtype=np.uint64), 1), item[:25]])
-    assert sum(t[0] for t in decontaminate.tile(item, moved, 4)) == 40 == plain_tiles(item, moved, 4)
+    assert sum(t[0] for t in decontaminate.tile(item, moved, 4)) == 40 == sum(t[0] for t in plain_tiles(item, moved, 4))
     assert sorted(t[0] for t in decontaminate.tile(item, moved, 4)) == [15, 25]
     assert decontaminate.tile(item[:3], item, 4) == []
 
 
-def test_tiles_do_not_overlap_and_cover_as_much_as_plain_tiling():
+def test_tiles_do_not_overlap_and_are_those_of_plain_tiling():
     rng = np.random.default_rng(2)
-    for _ in range(40):
-        a, b = rng.integers(0, 3, 24).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64)
+    for k in range(300):
+        letters = 2 + k % 5
+        a, b = rng.integers(0, letters, 24).astype(np.uint64), rng.integers(0, letters, 30).astype(np.uint64)
         tiles = decontaminate.tile(a, b, 3)
         for side in (1, 2):
             cells = [t[side] + i for t in tiles for i in range(t[0])]
             assert len(cells) == len(set(cells))
         assert all((a[p:p + n] == b[q:q + n]).all() for n, p, q in tiles)
-        assert sum(t[0] for t in tiles) >= 0.6 * plain_tiles(a, b, 3)
+        assert tiles == plain_tiles(a, b, 3)
 
 
 def test_vocabulary_file_is_not_in_the_repository():
