@@ -233,6 +233,17 @@ def test_shards_hold_the_key_law(docs, clashing, rows):
     assert shards.shard(clashing).count() == len(rows)
 
 
+def test_shards_do_not_depend_on_the_number_of_partitions(spark, docs):
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("3", "7", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(counted(shards.shard(docs.select("doc_id", "text").repartition(int(partitions)), bucket_bytes=20_000)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
 def test_shards_are_shuffled_and_even(spark):
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     found = shards.shard(many, bucket_bytes=2_000).toPandas()
