@@ -15,7 +15,8 @@ the ids of short pre-tokens in a table of bounded size; forgetting costs time on
 
 Defined results: a null text is the empty text, which has no tokens; the added tokens of the
 vocabulary are found in texts as the tokenizers library finds them; repeated rows give repeated
-results; other columns are ignored.
+results; an empty table gives no rows; other columns, whatever their names, are ignored.  A text of any length
+is encoded whole; memory is in proportion to the longest text, and to 2 MB of texts beside it.
 """
 
 from __future__ import annotations

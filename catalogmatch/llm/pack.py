@@ -12,7 +12,10 @@ again at 0), and which piece of which document each segment is, so documents can
 again.
 
 Defined results: a null or empty text has no ids and is in no row; documents may share an id or have
-none, their segments then carry the same or a null id; nothing is dropped or cut off.
+none, their segments then carry the same or a null id; nothing is dropped or cut off; an empty table gives no
+rows; other columns, whatever their names, are ignored; a text of any length is split into pieces.  Which
+documents share a row follows from the partitions of the table: another cut of its files packs other
+rows of the same pieces, and many small partitions leave more rows part-filled (coalesce them first).
 """
 
 from __future__ import annotations

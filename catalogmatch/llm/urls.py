@@ -7,7 +7,8 @@ host and path that fits decides before the terms do.
 
 Rows are independent: no shuffle, only the id and the url are read.  Defined results: a null url, or
 one without ``://``, has an empty host and path; its terms are still counted; repeated rows give
-repeated results.
+repeated results, with the same or a null ``page_id``; an empty table gives no rows; other columns, whatever
+their names, are ignored.  A url of any length is read whole, in time and memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,22 @@ from pyspark.sql import functions as F
 
 LIMIT = 2
 
-# ---- fixed values: terms of unwanted sites and their weights; LIMIT blocks ----
-TERMS = {
-    "porn": 2, "xxx": 2, "hentai": 2, "escort": 2, "viagra": 2, "cialis": 2, "warez": 2, "casino": 2, "malware": 2,
-    "spam": 1, "farm": 1, "cheap": 1, "pills": 1, "win": 1, "bet": 1, "poker": 1, "slots": 1, "sex": 1,
-    "adult": 1, "ads": 1, "track": 1, "tracker": 1, "clicks": 1, "loan": 1, "payday": 1, "bonus": 1, "crack": 1,
-    "keygen": 1, "torrent": 1,
-}
+# ---- fixed values: terms of unwanted sites, strict ones and soft ones by kind ----
+STRICT = """porn porno xxx hentai escort escorts milf camgirl camgirls bdsm fetish nsfw
+viagra cialis levitra tramadol steroids
+casino casinos sportsbook bookmaker bookmakers
+warez keygens cracked serialz nulled
+malware phishing ransomware spyware botnet stresser booter carding"""
+SOFT = """sex sexy adult adults erotic nude nudes naked webcam cams dating hookup singles
+pills pharmacy pharma prescription meds weightloss diet slimming
+bet bets betting odds poker slots slot roulette blackjack baccarat jackpot lottery bingo win winner prize bonus
+loan loans payday credit cash forex binary crypto airdrop investment refinance debt mortgage
+cheap discount coupon coupons deals replica replicas outlet wholesale bulk
+spam farm ads adserver banner popup popunder clicks click track tracker tracking affiliate affiliates redirect seo backlinks traffic
+crack keygen serial torrent torrents download downloads hack hacks cheats modded apk proxy unblocked leaked
+essay essays homework followers likes proxies vpnfree horoscope psychic clickbait giveaway"""
+# ---- fixed values end; LIMIT blocks ----
+TERMS = dict.fromkeys(STRICT.split(), LIMIT) | dict.fromkeys(SOFT.split(), 1)
 # ---- fixed values: (action, host, start of the path) ----
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))

@@ -316,6 +316,25 @@ def test_urls(spark):
     assert urls.judge_urls(pages).count() == len(given) and urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_any_length_and_tables_with_any_columns(spark):
+    long = "http://a.net/" + "x" * 2_000_000 + "/casino/" + "y" * 2_000_000 + "-bet-odds"
+    pages = spark.createDataFrame([(1, long), (2, "http://b.net/" + "cheap" * 100_000), (None, long)], "page_id long, url string")
+    clashing = pages.withColumns({c: F.lit("taken") for c in ("host", "path", "rule", "verdict", "n_strict", "n_soft", "score", "by", "rest")})
+    found = {r.page_id: (r.verdict, r.n_strict, r.n_soft, len(r.path)) for r in urls.judge_urls(clashing).collect()}
+    assert found == {1: ("block", 1, 2, len(long) - 12), 2: ("allow", 0, 0, 500_001), None: ("block", 1, 2, len(long) - 12)}
+    assert len(urls.TERMS) > 100 and all(t.isalnum() and t == t.lower() for t in urls.TERMS)
+
+
+def test_encoding_takes_long_texts_and_tables_with_any_columns(spark):
+    path = registered.byte_bpe_path()
+    docs = spark.createDataFrame([(1, "ab " * 500_000), (None, None)], "doc_id long, text string")
+    clashing = docs.withColumns({c: F.lit("taken") for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "n_ids", "segments")})
+    found = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.encode(clashing, path, digest=True).collect()}
+    assert found[1][1] == hashlib.sha256(("ab " * 500_000).encode()).hexdigest() and found[None] == (0, hashlib.sha256(b"").hexdigest())
+    assert bpe.encode(clashing.limit(0), path).count() == 0
+    assert sum(r.n_ids for r in pack.pack(clashing, path).collect()) == found[1][0]
+
+
 # ---- surrogates ----
 
 PRIVATE = [(1, "Mail joe.27@mail6.example.com or JOE.27@MAIL6.EXAMPLE.COM; card 4845168114407329 = 4845-1681-1440-7329."),
