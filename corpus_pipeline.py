@@ -17,7 +17,12 @@ from catalogmatch.llm.staging import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the limits and the isolation forest keep."""
+    """Documents that the limits and the isolation forest keep, with all their columns.
+
+    A null or empty text fails the limits and goes; rows alike are kept or go alike; ids may be shared or null
+    (labels then name none); an empty table stays empty; a text of any length is counted whole.  Columns may
+    have any names but ``text`` and ``doc_id``, which are read.
+    """
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -32,30 +37,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each component: the one with the smallest id, rows without id last, then by a hash of the text.
 
     Rows are told apart by a hash of id and text, so texts that share an id, or have none, link and go each
-    by itself.  Of rows alike in id and text one stays.  What links with nothing stays, so do texts without words.
+    by itself.  Of rows alike in id and text one stays, the one least as JSON.  What links with nothing stays, so do
+    texts without words; an empty table stays empty; columns may be of any type and named like those used here.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = jaccard.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
-    found = found.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__component")).distinct()
-    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("__id"), F.count("*").alias("__n"))
-    rows = stage(found.join(ids, "__key"), "pipeline-rows")
-    heads = stage(rows.groupBy("__component").agg(
-        F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__head"), F.sum("__n").alias("__all"))
-        .where("__all > 1").select("__component", F.col("__head.__key").alias("__kept")), "pipeline-heads")
-    judged = rows.join(heads, "__component")
-    gone = judged.where("__key <> __kept or __n > 1").select("__key")
-    again = judged.where("__key = __kept and __n > 1").select("__key")
-    one = keyed.join(again, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__one"))
-    return keyed.join(gone, "__key", "left_anti").select(*docs.columns).unionByName(one.select("__one.*"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", F.struct(*columns).alias("row"))
+    found = jaccard.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    rows = stage(found.join(ids, "key"), "pipeline-rows")
+    heads = stage(rows.groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("head"), F.sum("n").alias("all"))
+        .where("all > 1").select("component", F.col("head.key").alias("kept")), "pipeline-heads")
+    judged = rows.join(heads, "component")
+    gone = judged.where("key <> kept or n > 1").select("key")
+    again = judged.where("key = kept and n > 1").select("key")
+    one = keyed.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return keyed.join(gone, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item covers."""
+    """Documents that no benchmark item covers, with all their columns.
+
+    A null or empty text is covered by nothing and stays; rows alike stay or go alike, whatever their ids; an empty
+    table, or an empty benchmark, changes nothing; a text of any length is searched whole.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts of every document, with digests of its ids and of the text decoded from them."""
+    """Token counts of every document, with digests of its ids and of the text decoded from them.
+
+    One row for each row: a null text is the empty one and has no tokens; ids may be shared or null; an empty
+    table gives no rows; other columns are left out; a text of any length is encoded whole.
+    """
     return bpe.encode(docs, byte_bpe_path(), digest=True)
 
 
