@@ -115,7 +115,7 @@ def test_clustered_search_skips_far_clusters(spark, monkeypatch):
     q, d = frames(spark, items[:5], items)
     clustered = ivf.cluster_items(d, clusters=8)
     read = []
-    search = ivf._search
-    monkeypatch.setattr(ivf, "_search", lambda i, a, b, wanted, k, s: read.append(wanted.sum()) or search(i, a, b, wanted, k, s))
+    stream = ivf._stream
+    monkeypatch.setattr(ivf, "_stream", lambda i, a, b, looks, k, s: read.append(looks.num_rows) or stream(i, a, b, looks, k, s))
     assert rows(ivf.knn_ivf(q, clustered, 10)) == sorted(brute(items[:5], items, 10))
     assert sum(read) < 5 * 8
