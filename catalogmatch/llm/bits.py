@@ -28,7 +28,7 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     found = places.groupBy((F.col("__at") / _PER).cast("long").alias("__bucket")).agg(
         F.bitmap_construct_agg((F.col("__at") % _PER).cast("long")).alias("__bits"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # one job; at most MOST bits
         out[row["__bucket"] * _PER // 8:(row["__bucket"] + 1) * _PER // 8] = np.frombuffer(row["__bits"], np.uint8)
     return out
 

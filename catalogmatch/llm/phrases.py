@@ -9,7 +9,8 @@ none is missed, and what is counted is counted in every shard once.
 
 Which phrases have been met often enough is known to the tasks as a bitmap of bounded size (see
 ``bits``).  A stranger that passes it costs a count of a phrase that proves rare; activity is decided
-by the bitmaps of this step and of the step one cycle before, so its count covers every shard as well.
+by the bitmaps of this step and of the step one cycle before, each by itself from the words up, so that its
+count covers every shard as well, and a stranger of one cycle that is frequent in the next is no exception.
 Counts are kept in a table; a phrase whose cycle is over leaves it, for good if it is rare.
 
 Defined results: a null text is empty; a null ``lang`` is ``und``; repeated rows count each; a text
@@ -105,14 +106,16 @@ def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Itera
             if words:
                 hold(x.of[1], own)
             if now is not None and len(x.of[1]):
-                among, old = x.inside[1], None
+                among = counted_before = x.inside[1]
                 for n in range(1, LONGEST):
                     known = x.within(n, now, among)
-                    old = None if before is None else x.within(n, before, known)
                     if len(known) < 2:
                         break
                     among = x.inside[n + 1] & _both(known)
-                    active = among if old is None else among & ~_both(old)
+                    active = among
+                    if before is not None:  # what was active then, by that bitmap alone, has its cycle already
+                        counted_before = x.inside[n + 1] & _both(x.within(n, before, counted_before))
+                        active = among & ~counted_before
                     hold(x.of[n + 1][active], own[:len(active)][active])
             if sum(map(len, held)) >= HELD:
                 yield counted()
@@ -131,7 +134,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     Also the number of scans.
     """
     spark, source = docs.sparkSession, _source(docs)
-    done, live, sizes, maps, step = [], None, [0], [None], 0
+    done, live, sizes, maps, step, gone = [], None, [0], [None], 0, 0
     while step < SHARDS or sizes[step] != sizes[step - SHARDS]:
         before = maps[step - SHARDS] if step >= SHARDS else None
         found = source.where(F.col("group") % SHARDS == step % SHARDS).select("lang", "group", "text").mapInArrow(
@@ -142,9 +145,10 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
         over = counts.where(F.col("step") <= step - SHARDS + 1).where(F.col("c") >= least)
         live = counts.where(F.col("step") > step - SHARDS + 1)
         done.append(over)
-        often = counts.where(F.col("c") >= least).where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1).select("h")
-        gone = sum(x.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1).count() for x in done[:-1])
-        sizes.append(gone + often.count())
+        often = counts.where(F.col("c") >= least).where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)
+        ended, met = often.agg(F.count_if(F.col("step") <= step - SHARDS + 1), F.count("*")).first()
+        sizes.append(gone + met)
+        gone += ended
         if step == 0:
             size = bits.size_for(8 * sizes[1])
         last = maps[step].value if maps[step] is not None else np.zeros(size // 8, np.uint8)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -259,3 +260,15 @@ def test_translated_texts_keep_their_borders():
     texts = pa.array(["Ab-C", None, "", "É;x"])
     assert translate(texts.slice(0), table(b"-", b";")).to_pylist() == ["ab c", "", "", "É\nx"]
     assert translate(texts.slice(3), table(b"-", b";")).to_pylist() == ["É\nx"]
+
+
+def test_a_stranger_of_the_cycle_before_is_counted_when_its_parts_are_frequent(monkeypatch):
+    """The bitmap before lets ``a b c`` pass though ``a b`` was not met often enough: ``a b c d`` starts its cycle now."""
+    text = pa.array(["a b c d"])
+    of = phrases._Phrases(text, np.zeros(1, np.uint64)).of
+    monkeypatch.setattr(phrases.bits, "member", lambda known, hashes: np.isin(hashes, known))
+    now = np.concatenate([of[1], of[2], of[3]])
+    before = np.concatenate([of[1], of[2][1:], of[3]])
+    batch = pa.record_batch({"text": text, "lang": np.zeros(1, np.int64), "group": np.zeros(1, np.int32)})
+    found = [h for b in phrases._count(iter([batch]), SimpleNamespace(value=now), SimpleNamespace(value=before), False) for h in b["h"].to_numpy().view(np.uint64)]
+    assert sorted(found) == sorted([of[3][0], of[4][0]])
