@@ -89,7 +89,7 @@ TWINS["op1_line_dedup"] = lines.twin()
 @_register
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
-    return shards.shard(_documents(spark, sf_dir).select("doc_id", "text")).drop("record")
+    return shards.shard(_documents(spark, sf_dir).select("doc_id", "text")).drop("record", "row")
 
 
 @_register
