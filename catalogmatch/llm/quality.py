@@ -2,8 +2,10 @@
 
 Every text gives a few counts.  Fixed limits reject the plain cases.  For the rest, a forest of
 random splits tells how easily a document is set apart from good ones: few splits mean an unusual
-document.  Forest and threshold are fitted on a bounded sample of labelled rows (``SAMPLE``); counts
-and verdicts cover every row.  One pass, no shuffle; the forest is a few hundred KB.
+document.  The splits are drawn without a look at the rows; what a tree knows is how many of all good labelled
+rows each of its nodes holds, and the threshold follows from the scores of all labelled rows.  Both are counts
+of bounded size, taken in tasks; no more than ``LOCAL`` labelled rows are counted on the driver instead, with
+the same result.  Verdicts cost one pass without shuffle; the forest is a few hundred KB.
 
 Defined results: a null or empty text has no words and fails the limits; without labelled rows of
 both qualities the limits alone decide; of several labels of one document the lowest counts; labels
@@ -22,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogmatch.llm import words as w
+from catalogmatch.llm.staging import stage
+from catalogmatch.session import fits
 
-SAMPLE = 6000  # labelled rows the forest and its threshold are fitted on
+LOCAL = 6000  # up to so many labelled rows are counted on the driver, all of them; more are counted in tasks
 TREES = 100
 TREE_ROWS = 256
 DEPTH = 8
+BINS = 1 << 16  # of scores, for the threshold
 GOOD_KEPT = 0.998  # share of the good labelled rows that the threshold must keep
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -119,32 +124,44 @@ class Forest:
     rows: int
 
     @classmethod
-    def fit(cls, data: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 7) -> Forest:
-        """Random splits of the unit cube, each at a random place of its box, down to boxes of one row.
+    def grow(cls, width: int, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
+        """Random splits of the unit cube, each at a random place of its box, down to ``depth``; no row is looked at.
 
-        Splitting the box and not only the rows in it tells apart what no row of ``data`` has.
+        Splitting the box and not only the rows in it tells apart what no row has.
         """
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(data))
-        nodes = 2 ** (depth + 1)
+        nodes, inner = 2 ** (depth + 1) - 1, 2 ** depth - 1
         feature, value = np.full((trees, nodes), -1), np.zeros((trees, nodes))
-        child, path = np.zeros((trees, nodes), np.int64), np.zeros((trees, nodes))
-        for t in range(trees):
-            unit = np.zeros(data.shape[1]), np.ones(data.shape[1])
-            used, todo = 1, [(0, data[rng.choice(len(data), rows, replace=False)], *unit, 0)]
-            while todo:
-                node, part, low, high, above = todo.pop()
-                if above == depth or len(part) < 2:
-                    path[t, node] = above + _mean_path(len(part))
-                    continue
-                f = rng.integers(data.shape[1])
-                cut = rng.uniform(low[f], high[f])
-                feature[t, node], value[t, node], child[t, node] = f, cut, used
-                left, inner_high, inner_low = part[:, f] < cut, high.copy(), low.copy()
-                inner_high[f] = inner_low[f] = cut
-                todo += [(used, part[left], low, inner_high, above + 1), (used + 1, part[~left], inner_low, high, above + 1)]
-                used += 2
-        return cls(feature, value, child, path, rows)
+        feature[:, :inner] = rng.integers(width, size=(trees, inner))
+        low, high, tree = np.zeros((trees, nodes, width)), np.ones((trees, nodes, width)), np.arange(trees)
+        for node in range(inner):
+            f = feature[:, node]
+            value[:, node] = cut = rng.uniform(low[tree, node, f], high[tree, node, f])
+            for k in (1, 2):
+                low[:, 2 * node + k], high[:, 2 * node + k] = low[:, node], high[:, node]
+            high[tree, 2 * node + 1, f] = low[tree, 2 * node + 2, f] = cut
+        child = np.broadcast_to(2 * np.arange(nodes) + 1, (trees, nodes))
+        return cls(feature, value, child, np.zeros((trees, nodes)), 0)
+
+    def masses(self, data: np.ndarray) -> np.ndarray:
+        """How many rows of ``data`` each node of each tree holds."""
+        out = np.zeros(self.feature.shape, np.int64)
+        for total, feature, value, child in zip(out, self.feature, self.value, self.child, strict=True):
+            node, rows = np.zeros(len(data), np.int64), np.arange(len(data))
+            while len(rows):
+                total += np.bincount(node[rows], minlength=len(total))
+                rows = rows[feature[node[rows]] >= 0]
+                at = node[rows]
+                node[rows] = child[at] + (data[rows, feature[at]] >= value[at])
+        return out
+
+    def settled(self, mass: np.ndarray, rows: int = TREE_ROWS) -> Forest:
+        """The forest that knows its masses: a node is a leaf where less than two of ``rows`` rows would be left."""
+        total = int(mass[0, 0])
+        rows = min(rows, total)
+        here = mass * (rows / total)
+        above = np.floor(np.log2(np.arange(mass.shape[1]) + 1))
+        return Forest(np.where(here < 2, -1, self.feature), self.value, self.child, above + _mean_path(here), rows)
 
     def score(self, data: np.ndarray) -> np.ndarray:
         """Between 0 and 1; the shorter the mean path, the higher."""
@@ -172,46 +189,101 @@ class Model:
         return self.forest.score(features(counts)) > self.threshold
 
 
-def calibrate(counts: np.ndarray, good: np.ndarray, good_kept: float = GOOD_KEPT) -> Model:
-    """Forest of the good rows that pass the limits, and the threshold that best parts them from the bad.
+def _bins(forest: Forest, data: np.ndarray) -> np.ndarray:
+    return np.minimum(forest.score(data) * BINS, BINS - 1).astype(np.int64)
+
+
+def cut(good: np.ndarray, bad: np.ndarray, good_kept: float = GOOD_KEPT) -> float:
+    """The threshold that best parts good rows from bad, given how many of each have a score in each bin.
 
-    The threshold keeps at least ``good_kept`` of the good rows; of those it maximizes the share of
+    It keeps at least ``good_kept`` of the good rows; of such thresholds it maximizes the share of
     bad rows caught less the share of good rows lost.
     """
+    seen = np.flatnonzero(good + bad)
+    kept = np.cumsum(good)[seen] / good.sum()
+    caught = 1 - np.cumsum(bad)[seen] / bad.sum()
+    allowed = kept >= good_kept
+    best = np.flatnonzero(allowed)[np.argmax((kept + caught)[allowed])]
+    above = seen[best + 1] if best + 1 < len(seen) else seen[best] + 1
+    return float(np.nextafter((seen[best] + 1 + above) / 2 / BINS, 0))  # above all of its bin, below the next
+
+
+def calibrate(counts: np.ndarray, good: np.ndarray, good_kept: float = GOOD_KEPT) -> Model:
+    """Forest of the good rows that pass the limits, and the threshold that best parts them from the bad."""
     own = ~base_failed(counts)
     data, good = features(counts[own]), good[own]
     if not good.any() or good.all():
         return Model(None, 1.0)
-    forest = Forest.fit(data[good])
-    score = forest.score(data)
-    cuts = np.unique(score)
-    kept = np.searchsorted(np.sort(score[good]), cuts, side="right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(score[~good]), cuts, side="right") / (~good).sum()
-    allowed = kept >= good_kept
-    best = np.flatnonzero(allowed)[np.argmax((kept + caught)[allowed])]
-    above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-    return Model(forest, float((cuts[best] + above) / 2))
+    forest = Forest.grow(data.shape[1])
+    forest = forest.settled(forest.masses(data[good]))
+    bins = _bins(forest, data)
+    return Model(forest, cut(np.bincount(bins[good], minlength=BINS), np.bincount(bins[~good], minlength=BINS), good_kept))
+
+
+def _table_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1)
+
+
+def _held(batches: Iterator[pa.RecordBatch], forest) -> Iterator[pa.RecordBatch]:
+    """``place, n``: how many rows each node of the forest holds, the nodes numbered through all trees."""
+    total = np.zeros(forest.value.feature.size, np.int64)
+    for batch in batches:
+        total += forest.value.masses(features(_table_of(batch))).ravel()
+    yield pa.record_batch({"place": np.flatnonzero(total), "n": total[total > 0]})
+
+
+def _scored(batches: Iterator[pa.RecordBatch], forest) -> Iterator[pa.RecordBatch]:
+    """``place, n``: how many rows have a score in each bin, bad ones numbered after the good."""
+    total = np.zeros(2 * BINS, np.int64)
+    for batch in batches:
+        bad = batch.column("quality").to_numpy() != 1
+        total += np.bincount(_bins(forest.value, features(_table_of(batch))) + BINS * bad, minlength=len(total))
+    yield pa.record_batch({"place": np.flatnonzero(total), "n": total[total > 0]})
+
+
+def _summed(rows: DataFrame, function, forest: Forest, size: int) -> np.ndarray:
+    """The counts of all tasks, added up; at most ``size`` rows reach the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    out = np.zeros(size, np.int64)
+    for row in rows.mapInArrow(partial(function, forest=shared), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[row["place"]] = row["n"]
+    return out
+
+
+def calibrate_all(measured: DataFrame) -> Model:
+    """The model of ``calibrate`` for a table ``quality`` and ``COUNTS`` of any size, counted in tasks."""
+    own = measured.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
+    kinds = {row["good"]: row["n"] for row in own.groupBy((F.col("quality") == 1).alias("good")).agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 2:
+        return Model(None, 1.0)
+    forest = Forest.grow(features(np.zeros((1, len(COUNTS)), np.int64)).shape[1])
+    mass = _summed(own.where("quality = 1"), _held, forest, forest.feature.size)
+    forest = forest.settled(mass.reshape(forest.feature.shape))
+    bins = _summed(own, _scored, forest, 2 * BINS)
+    return Model(forest, cut(bins[:BINS], bins[BINS:]))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = statistics(batch.column("text"))
-        yield pa.record_batch({c: batch.column(c) for c in ("labelled", "row", "quality")} | {name: counts[:, i].copy() for i, name in enumerate(COUNTS)})
+        yield pa.record_batch({c: batch.column(c) for c in ("labelled", "row")} | {name: counts[:, i].copy() for i, name in enumerate(COUNTS)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents, picked by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, local: int = LOCAL) -> Model:
+    """Fit on all labelled documents; up to ``local`` of them are counted on the driver.
 
-    Of rows that share a labelled id the one whose text has the least hash is taken, by partial
-    aggregation, so no more than ``sample`` rows reach the driver.
+    Of rows that share a labelled id the one whose text has the least hash is taken.  Texts stay where they are
+    read: only counts are joined with the labels.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(
-        F.min("quality").cast("long").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("labelled", F.xxhash64("text").alias("row"), "quality", "text")
-    counted = rows.withColumn("labelled", F.col("labelled").cast("long")).mapInArrow(
-        _counted, "labelled long, row long, quality long, " + ", ".join(f"{c} long" for c in COUNTS))
-    one = counted.groupBy("labelled").agg(F.min(F.struct("row", "quality", *COUNTS)).alias("one"))
-    table = one.select("one.quality", *[f"one.{c}" for c in COUNTS]).toPandas().sort_values(["quality", *COUNTS])
+    chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(
+        F.min("quality").cast("long").alias("quality"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("labelled"), F.xxhash64("text").alias("row"), "text")
+    counted = rows.mapInArrow(_counted, "labelled long, row long, " + ", ".join(f"{c} long" for c in COUNTS))
+    one = counted.join(chosen, "labelled").groupBy("labelled").agg(F.min(F.struct("row", "quality", *COUNTS)).alias("one"))
+    measured = stage(one.select("one.quality", *[f"one.{c}" for c in COUNTS]), "quality-labelled")
+    if not fits(measured, local):
+        return calibrate_all(measured)
+    table = measured.toPandas().sort_values(["quality", *COUNTS])
     return calibrate(table[list(COUNTS)].to_numpy(np.int64), table["quality"].to_numpy() == 1)
 
 

@@ -452,6 +452,19 @@ def test_forest_parts_good_from_bad_on_held_out_rows(spark, none):
     assert quality.fit(docs, labels.limit(0)).forest is None and quality.fit(none, labels).forest is None
 
 
+def test_every_labelled_row_counts_in_the_model(spark):
+    """More labelled rows than the driver counts give the same model, and the rows of the second half move it."""
+    rows = [(i, text + " #" * (i % 30 if good and i >= 350 else 0), good) for i, text, good in labelled(1, 700)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    here, there = quality.fit(docs, labels, 700), quality.fit(docs, labels, 20)
+    assert here.threshold == there.threshold
+    assert (here.forest.feature == there.forest.feature).all() and (here.forest.path == there.forest.path).all()
+    fewer = quality.fit(docs, labels.where("doc_id < 350"), 20)
+    assert (fewer.forest.path != there.forest.path).any()
+    assert there.forest.masses(np.zeros((3, 5)))[:, 0].tolist() == [3] * quality.TREES
+
+
 # ---- pipeline ----
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
