@@ -114,7 +114,8 @@ def _count(batches: Iterator[pa.RecordBatch], now, before, words: bool) -> Itera
                     among = x.inside[n + 1] & _both(known)
                     active = among
                     if before is not None:  # what was active then, by that bitmap alone, has its cycle already
-                        counted_before = x.inside[n + 1] & _both(x.within(n, before, counted_before))
+                        # bitmaps only grow, so what this one holds back was held back then
+                        counted_before = x.inside[n + 1] & _both(x.within(n, before, counted_before & known))
                         active = among & ~counted_before
                     hold(x.of[n + 1][active], own[:len(active)][active])
             if sum(map(len, held)) >= HELD:
