@@ -12,7 +12,7 @@ from catalogmatch import schemas
 from catalogmatch.operators import sets
 from catalogmatch.operators import standardize as st
 from catalogmatch.plans.standardization import standardize_catalog
-from catalogmatch.session import shared_dir, wide_tasks
+from catalogmatch.session import shared_dir, spread, wide_tasks
 from catalogmatch.sources import readers, writers
 
 BUCKETS = 256  # about a million items each at 256 million
@@ -132,9 +132,10 @@ def sync_catalog(
     encoded = vectors.count()
     rehydrated = rehydrate_cache(spark, stores) if stores.cache else 0
 
-    # the new rows are found once and read back from the shared folder by every later step
+    # the new rows are found once and read back from the shared folder by every later step; they are
+    # spread first, as a file is read by one task and the texts cost far more than the bytes
     stage = shared_dir(spark, "new-items")
-    sets.new_items(raw, vectors).write.parquet(stage)
+    spread(sets.new_items(raw, vectors)).write.parquet(stage)
     fresh = spark.read.schema(raw.schema).parquet(stage)
     repeated = sets.repeated_ids(fresh).orderBy(sets.ID).limit(5).collect()
     if repeated:
