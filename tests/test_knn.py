@@ -119,3 +119,15 @@ def test_clustered_search_skips_far_clusters(spark, monkeypatch):
     monkeypatch.setattr(ivf, "_stream", lambda i, a, b, looks, k, s: read.append(looks.num_rows) or stream(i, a, b, looks, k, s))
     assert rows(ivf.knn_ivf(q, clustered, 10)) == sorted(brute(items[:5], items, 10))
     assert sum(read) < 5 * 8
+
+
+def test_grid_rows_go_to_few_tasks(spark, sample):
+    # a grid of 41 x 33 cells sent every row to 41 or 33 of them and merged 33 lists of each query
+    assert knn._blocks(16_000, 10_000, 400, 300, 16) == (4, 4)
+    assert knn._blocks(2_000_000, 2_000_000, 400, 300, 16) == (31, 16)
+    assert knn._blocks(10, 10, 400, 300, 16) == (1, 1)
+    assert knn._blocks(50, 900, 11, 100, 200) == (5, 10)
+    queries, items = sample
+    q, d = frames(spark, np.vstack([queries] * 8), items)
+    merged = knn._grid(*knn._select(q, d), 5, 3, 9).count()
+    assert merged <= 8 * len(queries) * 5 * 16  # with every cell for itself, 101 lists a query
