@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from catalogmatch.operators import knn
 from catalogmatch.operators.ivf import ClusteredItems
-from catalogmatch.session import shared_dir
+from catalogmatch.session import shared_dir, wide_tasks
 
 
 def _sum(values: Column) -> Column:
@@ -33,9 +33,18 @@ def _checked(queries: DataFrame, dim: int) -> DataFrame:
     return queries.select(F.col("query_id").cast("bigint").alias("query_id"), vector.alias("vector"))
 
 
-def _best(queries: DataFrame, near: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` per query among the items of the clusters that ``near`` names."""
-    pairs = near.join(queries, "query_id").join(items, "cluster")
+def _best(queries: DataFrame, near: DataFrame, items: DataFrame, clusters: int) -> DataFrame:
+    """The best ``k`` per query among the items of the clusters that ``near`` names.
+
+    Clusters are few and small in bytes, but every pair of them costs: the queries of a cluster are dealt into
+    shares, its items go to every share, and the number of tasks is given.
+    """
+    tasks = 2 * wide_tasks(near.sparkSession)
+    shares = max(1, 2 * tasks // max(1, clusters))
+    asking = near.join(queries, "query_id").withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+    offered = items.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    at = ["cluster", "share"]
+    pairs = asking.repartition(tasks, *at).join(offered.repartition(tasks, *at).hint("merge"), at)
     similarity = F.round(_sum(F.zip_with("unit", "own", lambda x, y: x * y)), knn.DIGITS) + F.lit(0.0)
     return pairs.select("query_id", "cd_insumo", similarity.alias("similarity"))
 
@@ -67,12 +76,12 @@ def knn_sql(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
     # an item's vector is scaled once, before it meets its queries
     stored = spark.read.parquet(items.path).select("cd_insumo", _unit(F.col("vector")).alias("own"), "cluster")
     path = shared_dir(spark, "sql-first")
-    _ranked(_best(wanted, near.where("first").select("query_id", "cluster"), stored, k), k).write.parquet(path)
+    _ranked(_best(wanted, near.where("first").select("query_id", "cluster"), stored, count), k).write.parquet(path)
     found = spark.read.schema("query_id bigint, cd_insumo bigint, similarity double, knn_rank int").parquet(path)
     kth = found.where(F.col("knn_rank") == k).select(
         "query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity") + 4 * 10.0 ** -knn.DIGITS)).alias("reach"))
     open_ = near.where("not first").join(kth, "query_id", "left").where("reach is null or bound <= reach").select("query_id", "cluster")
-    rest = _best(wanted, open_, stored, k)
+    rest = _best(wanted, open_, stored, count)
     best = _ranked(found.drop("knn_rank").unionByName(rest), k)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("score_sbert")
     return best.select("query_id", "cd_insumo", score, "knn_rank")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogmatch.operators import ivf, knn
+from catalogmatch.operators import knn_sql as sql_neighbours
 
 
 def frames(spark, queries, items, parts=4):
@@ -131,3 +132,13 @@ def test_grid_rows_go_to_few_tasks(spark, sample):
     q, d = frames(spark, np.vstack([queries] * 8), items)
     merged = knn._grid(*knn._select(q, d), 5, 3, 9).count()
     assert merged <= 8 * len(queries) * 5 * 16  # with every cell for itself, 101 lists a query
+
+
+def test_pairs_of_one_cluster_are_compared_in_many_tasks(spark):
+    q = spark.range(200).selectExpr("id query_id", "array(1d, 0d) unit").coalesce(1)
+    near = spark.range(200).selectExpr("id query_id", "cast(id % 2 as int) cluster").coalesce(1)
+    d = spark.range(60).selectExpr("id cd_insumo", "array(0.5d, id / 60d) own", "cast(id % 2 as int) cluster").coalesce(1)
+    pairs = sql_neighbours._best(q, near, d.unionByName(d), 2)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 4
+    got = sorted((r.query_id, r.cd_insumo) for r in pairs.collect())
+    assert got == sorted((i, j) for i in range(200) for j in range(60) for _ in range(2) if i % 2 == j % 2)
