@@ -105,3 +105,28 @@ def test_a_pair_that_most_sessions_vote_on_brings_none_together(spark):
     rows = [vote(3 * s + k, f"s{s}", q, i, 1) for s in range(300) for k, (q, i) in enumerate([("hot", 1), (f"own{s}", 2), (f"own{s}", 3)])]
     assert agreement.session_agreement(feedback(spark, rows)).count() == 0
     assert Counter(r[3] for r in rows)["hot"] == 300
+
+
+@pytest.mark.parametrize("meetings", [0, 10**9])
+def test_sessions_compared_block_by_block_or_over_their_meetings(spark, monkeypatch, meetings):
+    for name, value in {"MEETINGS": meetings, "BLOCK_VOTES": 60, "TILE": 4, "COLUMNS": 3, "BATCH_ROWS": 5}.items():
+        monkeypatch.setattr(agreement, name, value)
+    rng = random.Random(5)
+    rows = []
+    for s in range(40):
+        name = ["s", "é", "\U0001f600", "～"][s % 4] + str(s)
+        rows += [vote(len(rows) + k, name, f"q{i % 7}", i, rng.choice([0, 1, None])) for k, i in enumerate(rng.sample(range(30), rng.randrange(14)))]
+    rows += [vote(len(rows) + k, "wide", f"q{i % 7}", i, 1) for k, i in enumerate(range(30))] + [vote(9000, None, "q0", 0, 1)]
+    got = agreement.session_agreement(feedback(spark, rows)).collect()
+    found = {frozenset((r.session_a, r.session_b)): (r.shared, r.agreed, r.agreement) for r in got}
+    assert found == {frozenset(k): v for k, v in plain_agreement(rows, 3).items()} and len(got) == len(found) > 100
+    assert all(r.session_a.encode() < r.session_b.encode() for r in got)
+
+
+def test_no_list_of_sessions_that_meet_is_stored_where_most_of_them_do(spark, monkeypatch):
+    stored = []
+    store = agreement._stored
+    monkeypatch.setattr(agreement, "_stored", lambda df, label: stored.append(store(df, label)) or stored[-1])
+    rows = [vote(80 * s + i, f"s{s}", f"q{i}", i, (s + i) % 2) for s in range(100) for i in range(80)]
+    assert agreement.session_agreement(feedback(spark, rows)).count() == 100 * 99 // 2
+    assert max(df.count() for df in stored if "session_b" not in df.columns) == len(rows) and not any("session_b" in df.columns for df in stored)
