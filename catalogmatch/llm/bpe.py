@@ -5,6 +5,8 @@ the next one, and every inner node the least value below it.  The root therefore
 pair of the lowest rank.  A merge changes three leaves, each in logarithmic time, and the work ends
 when the root holds no mergeable pair.  So one long pre-token costs n log n, not n squared.
 
+Pre-tokens of a batch of texts are found at once: kinds of neighbouring letters say where one starts, so no
+Python string is made for each.  The batch's distinct ones are looked up, and their ids dealt to all places.
 Short pre-tokens not met before are merged many at a time: one NumPy array holds their trees side by
 side, and every step takes the root of each tree and updates its leaves.  Longer ones take the same
 steps one by one.
@@ -25,9 +27,11 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -40,6 +44,10 @@ REMEMBERED_CHARS = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # ---- end of fixed values ----
 
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)  # the kinds of letters that the pattern tells apart
+_SHORT = np.isin(np.arange(128), [ord(c) for c in "stmd"])  # after an apostrophe: 's 't 'm 'd
+_LONG = {(ord(a), ord(b)) for a, b in ("re", "ve", "ll")}
+
 _NONE = 1 << 62
 _BLANK = np.int32(2**31 - 1)
 _WIDTHS = (8, 16, 32, 64)
@@ -154,9 +162,42 @@ def _put(tree: np.ndarray, top: np.ndarray, width: int, leaf: np.ndarray, value)
     node = leaf + width
     tree[top + node] = value
     for _ in range(width.bit_length() - 1):
+        value = np.minimum(value, tree[top + (node ^ 1)])
         node = node >> 1
-        at = top + 2 * node
-        tree[top + node] = np.minimum(tree[at], tree[at + 1])
+        tree[top + node] = value
+
+
+def letter_kinds() -> np.ndarray:
+    """Kind of every code point, by the classes of ``PATTERN``."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))  # all but surrogates
+    kinds = np.full(0x110000, _OTHER, np.uint8)
+    for kind, letters in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for run in regex.finditer(letters, every):
+            kinds[ord(run[0][0]):ord(run[0][-1]) + 1] = kind
+    return kinds
+
+
+def _starts(point: np.ndarray, kind: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Where matches of ``PATTERN`` start, one behind the other, in texts that begin where ``apart`` is set.
+
+    A match is a run of one kind.  A space before another kind goes with that; of other runs of spaces the
+    last one stands alone, unless the text ends there.  An apostrophe that starts a match takes its letters.
+    """
+    n, joined = len(point), ~apart[1:-1]  # letters 1 on that belong with the one before them
+    start = np.ones(n, bool)
+    space = kind == _SPACE
+    start[1:] = (kind[1:] != kind[:-1]) & ~((point[:-1] == 0x20) & ~space[1:])
+    start[1:-1] |= space[:-2] & space[1:-1] & ~space[2:] & joined[1:]
+    start[1:] |= ~joined
+    mark = np.flatnonzero((point == 0x27) & start)
+    mark = mark[(mark + 1 < n) & ~apart[mark + 1]]
+    one = mark[_SHORT[np.minimum(point[mark + 1], 127)]]
+    more = mark[(mark + 2 < n) & ~apart[mark + 2]]
+    two = np.array([i for i in more.tolist() if (int(point[i + 1]), int(point[i + 2])) in _LONG], np.int64)
+    start[one + 1] = start[two + 1] = False
+    after = np.concatenate([one + 2, two + 3])
+    start[after[after < n]] = True
+    return start
 
 
 class Pairs:
@@ -185,8 +226,7 @@ class Pairs:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge or a symbol is -1."""
-        keys = a.astype(np.int64) << 32 | b
-        keys[(a < 0) | (b < 0)] = -2
+        keys = a.astype(np.int64) << 32 | b  # negative with a blank: in no slot, or as the key of free ones, whose rank is -1
         slot = self._slot(keys)
         found = self.key[slot]
         out = np.where(found == keys, self.rank[slot], np.int32(-1))
@@ -225,7 +265,7 @@ class Vocabulary:
             self.bytes[i] = token.encode()
         self.added = added
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.pattern = regex.compile(PATTERN)
+        self.kinds = letter_kinds()
         self.pairs = Pairs(self.merges)
         self.known = _Known(self)
 
@@ -235,17 +275,52 @@ class Vocabulary:
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """:meth:`ids` of several texts."""
-        cut = [self._pieces(text) for text in texts]
-        self.known.learn({piece for pieces in cut for piece in pieces})
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.cut is None or not any(t in text for t in self.added):
-            return self.pattern.findall(text)
-        out = []
-        for part in self.cut.split(text):
-            out += [part] if part in self.added else self.pattern.findall(part)
-        return out
+        ids, ends = self.encoded(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and where each text's begin (and the last one's end)."""
+        pieces, first = self._pieces(texts)
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        coded = pieces.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self.known.learn({distinct[i] for i in missing})
+        for i in missing:
+            found[i] = self.known[distinct[i]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.append(0, np.cumsum(size))[:-1]
+        count = size[which]
+        ends = np.append(0, np.cumsum(count))
+        return flat[np.repeat(begin[which] - ends[:-1], count) + np.arange(ends[-1])], ends[first]
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of all texts in order, and the number of them before each text (and in all)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        _, offsets, buffer = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = (buffer if buffer is not None else pa.py_buffer(b""))[int(at[0]):int(at[-1])]
+        at, whole = at - at[0], data.to_pybytes().decode()
+        if not whole:
+            return pa.array([], pa.large_string()), np.zeros(len(at), np.int64)
+        point = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        place = np.append(0, np.cumsum(1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)))  # in bytes
+        edge = np.searchsorted(place, at)  # where texts begin, in letters
+        apart = np.zeros(len(point) + 1, bool)  # nothing matches across these places
+        apart[edge] = True
+        spans = []
+        if self.cut is not None and any(t in whole for t in self.added):
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                spans += [(low + m.start(), low + m.end()) for m in self.cut.finditer(whole[low:high])]
+            apart[[i for span in spans for i in span]] = True
+        start = _starts(point, self.kinds[point], apart)
+        for low, high in spans:
+            start[low + 1:high] = False
+        cuts = np.append(place[:-1][start], place[-1])
+        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data)
+        return pieces, np.append(0, np.cumsum(start))[edge]
 
     def text(self, ids: bytes) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become the replacement character."""
@@ -288,11 +363,8 @@ class _Known(dict):
             symbols[np.arange(high) < have[:, None]] = self.first[np.frombuffer(b"".join(raw[c] for c in chosen), np.uint8)]
             out = merge_rows(symbols, high, self.of.pairs)
             kept = out >= 0
-            ids, ends = out[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(1)) * 4
-            at = 0
-            for c, end in zip(chosen, ends.tolist(), strict=True):
-                self[new[c]] = ids[at:end]
-                at = end
+            ids, ends = out[kept].astype("<u4").tobytes(), [0, *(np.cumsum(kept.sum(1)) * 4).tolist()]
+            self.update((new[c], ids[a:b]) for c, a, b in zip(chosen.tolist(), ends[:-1], ends[1:], strict=True))
 
     def __missing__(self, piece: str) -> bytes:
         symbols = [self.of.first[b] for b in piece.encode()]
@@ -321,17 +393,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], content, digest: bool) -> Iterat
     vocabulary = loaded(content.value)
     for batch in batches:
         for low, high in slices(batch.column("text")):
-            texts = batch.column("text").slice(low, high - low)
-            found = vocabulary.all_ids([text or "" for text in texts.to_pylist()])
-            counts = [len(ids) // 4 for ids in found]
-            out = {"doc_id": batch.column("doc_id").slice(low, high - low), "n_tokens": pa.array(counts, pa.int64())}
+            ids, ends = vocabulary.encoded(batch.column("text").slice(low, high - low))
+            out = {"doc_id": batch.column("doc_id").slice(low, high - low), "n_tokens": pa.array(np.diff(ends), pa.int64())}
             if digest:
-                out["ids_sha256"] = pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string())
+                found = [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                out["ids_sha256"] = pa.array([hashlib.sha256(own).hexdigest() for own in found], pa.string())
                 out["decoded_sha256"] = pa.array(
-                    [hashlib.sha256(vocabulary.text(ids).encode()).hexdigest() for ids in found], pa.string())
+                    [hashlib.sha256(vocabulary.text(own).encode()).hexdigest() for own in found], pa.string())
             else:
-                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-                out["ids"] = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+                out["ids"] = pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32))
             yield pa.record_batch(out)
 
 

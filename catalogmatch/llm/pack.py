@@ -112,16 +112,17 @@ def _packed(pieces: list[tuple[int | None, int, bytes]], length: int, pad: int)
         ends = np.append(0, np.cumsum(size))
         start = ends[:-1] - ends[first[:-1]][row]  # of each piece within its row
         place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-        at = np.repeat(row * length + start, size) + place
+        used = ends[first[1:]] - ends[first[:-1]]
+        filled = np.arange(length) < used[:, None]  # segments lie back to back from the start of their row
         ids, places = np.full((len(some), length), pad, "<u4"), np.zeros((len(some), length), "<u4")
-        ids.flat[at] = np.frombuffer(b"".join(pieces[p][2] for p in order), "<u4")
-        places.flat[at] = place
+        ids[filled] = np.frombuffer(b"".join(pieces[p][2] for p in order), "<u4")
+        places[filled] = place
         lengths = np.zeros(len(order) + len(some), np.int32)  # a leading 0 for each row, then the end of each piece
         lengths[np.arange(len(order)) + row + 1] = start + size
         segments = pa.StructArray.from_arrays(
             [pa.array([pieces[p][0] for p in order], pa.int64()), pa.array([pieces[p][1] for p in order], pa.int32()), pa.array(size.astype(np.int32))], ["doc_id", "piece", "n_ids"])
         yield pa.record_batch({
-            "n_segments": pa.array(count.astype(np.int64)), "n_ids": pa.array((ends[first[1:]] - ends[first[:-1]]).astype(np.int64)), "ids": _rows_of(ids),
+            "n_segments": pa.array(count.astype(np.int64)), "n_ids": pa.array(used.astype(np.int64)), "ids": _rows_of(ids),
             "cu_seqlens": pa.ListArray.from_arrays((first + np.arange(len(first))).astype(np.int32), pa.array(lengths)),
             "position_ids": _rows_of(places), "segments": pa.ListArray.from_arrays(first.astype(np.int32), segments)})
 
@@ -132,9 +133,10 @@ def _packing(batches: Iterator[pa.RecordBatch], content, length: int, pad: int,
     held = 0
     for batch in batches:
         for low, high in slices(batch.column("text")):
-            texts = batch.column("text").slice(low, high - low).to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").slice(low, high - low).to_pylist(),
-                                   vocabulary.all_ids([text or "" for text in texts]), strict=True):
+            all_ids, ends = vocabulary.encoded(batch.column("text").slice(low, high - low))
+            edges = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            for doc_id, (begin, end) in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), edges, strict=True):
+                ids = all_ids[begin:end].tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     pieces.append((doc_id, k, ids[at:at + 4 * length]))
                     held += len(pieces[-1][2]) // 4

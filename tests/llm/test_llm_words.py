@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -135,3 +136,31 @@ def test_tiles_do_not_overlap_and_are_those_of_plain_tiling():
 def test_vocabulary_file_is_not_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not os.path.abspath(PATH).startswith(root + os.sep)
+
+
+def test_pieces_of_many_texts_equal_the_pattern_and_are_not_made_one_by_one(vocabulary, monkeypatch):
+    """Letters that meet the pattern's corners, nulls and added tokens; every code point once."""
+    library, rng = regex.compile(bpe.PATTERN), random.Random(3)
+
+    def wanted(text):
+        parts = vocabulary.cut.split(text or "")
+        return [piece for part in parts for piece in ([part] if part in vocabulary.added else library.findall(part))]
+
+    letters = [*"''   stmdrevl1\n\t!é中　 ①\U0001f600\x1c\x85​", "'re", "'ll", " 've", "<|endoftext|>"]
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for texts in [[every]] + [[rng.choice([None, "".join(rng.choices(letters, k=rng.randrange(25)))]) for _ in range(rng.randrange(9))] for _ in range(400)]:
+        pieces, first = vocabulary._pieces(pa.array(["x's", *texts, "'s"], pa.string()).slice(1, len(texts)))
+        assert [pieces.to_pylist()[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == [wanted(text) for text in texts]
+    asked = []
+
+    class Counted(bpe._Known):
+        def get(self, piece):
+            asked.append(piece)
+            return super().get(piece)
+
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    monkeypatch.setattr(vocabulary, "known", Counted(vocabulary))
+    assert len(vocabulary.all_ids(["word " * 1000] * 3)) == 3 and len(asked) == 6  # not 3,003: each distinct piece asked for, and once more when learnt
