@@ -44,6 +44,7 @@ PERCENT = 75
 LEAST_BAND, TREE_BAND = 6, 8  # at meeting points a set has 64 to 256 groups, afterwards as many as its size asks for
 CELL = 2048
 LEAF = 16
+DIRECT = 64  # in cells of so many sets a tree costs more than all pairs of like size
 NEAR = 512  # sets up to this size carry a count vector of 65,536 groups where they meet
 FIRSTS = 24  # meetings that a set remembers, so that a pair is listed once for all of them
 SPARE = 1.25  # shingles below the border, as a multiple of those by which sets meet
@@ -308,9 +309,10 @@ def _open_pairs(node, size, points, label, side, own, near: Near, percent: int)
 
     Pairs of one side of the cell, and of two sets that meet in a higher band, are left to other cells.
     """
-    if len(node) <= LEAF:
+    if len(node) <= DIRECT:
         i, j = np.triu_indices(len(node), 1)
-        ask = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (own[i] | own[j])
+        ask = percent * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])
+        ask &= (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (own[i] | own[j])
         i, j = i[ask], j[ask]
         bound = np.minimum(points[i], points[j]).sum(1)
         hit = (100 + percent) * bound >= percent * (size[i] + size[j])
