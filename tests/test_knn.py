@@ -142,3 +142,24 @@ def test_pairs_of_one_cluster_are_compared_in_many_tasks(spark):
     assert pairs.select(F.spark_partition_id()).distinct().count() > 4
     got = sorted((r.query_id, r.cd_insumo) for r in pairs.collect())
     assert got == sorted((i, j) for i in range(200) for j in range(60) for _ in range(2) if i % 2 == j % 2)
+
+
+def test_items_are_ruled_out_by_their_leading_directions(monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    few = rng.normal(size=(6, 64))
+    items = unit(rng.normal(size=(6_000, 6)) @ few + 0.1 * rng.normal(size=(6_000, 64)))
+    items[1_000:1_400] = items[999]       # copies, whose order is that of their ids
+    queries = unit(rng.normal(size=(300, 6)) @ few + 0.1 * rng.normal(size=(300, 64)))
+    queries[:3] = items[999]
+    assert knn._directions(items).shape == (64, 14)
+    assert knn._directions(unit(rng.normal(size=(2_000, 64)))) is None  # alike in all directions: nothing to gain
+    short, dots = [], knn._dots
+    monkeypatch.setattr(knn, "_dots", lambda a, i, b, j: short.append(len(i)) or dots(a, i, b, j))
+    ids = rng.permutation(6_000)
+    blocks = [(ids[low:low + 900], items[low:low + 900]) for low in range(0, 6_000, 900)]
+    got = [r for table in knn._best_of(np.arange(300), queries, 7, iter(blocks), rows=128, cols=500) for r in table.to_pylist()]
+    sims = np.round(queries @ items.T, 6)
+    expected = {(i, int(ids[j])) for i, row in enumerate(sims) for j in sorted(range(6_000), key=lambda j: (-row[j], ids[j]))[:7]}
+    assert len(got) == len(expected) and {(r["query_id"], r["cd_insumo"]) for r in got} == expected
+    assert sum(short) < 0.1 * 300 * 6_000
