@@ -163,3 +163,32 @@ def test_items_are_ruled_out_by_their_leading_directions(monkeypatch):
     expected = {(i, int(ids[j])) for i, row in enumerate(sims) for j in sorted(range(6_000), key=lambda j: (-row[j], ids[j]))[:7]}
     assert len(got) == len(expected) and {(r["query_id"], r["cd_insumo"]) for r in got} == expected
     assert sum(short) < 0.1 * 300 * 6_000
+
+
+@pytest.mark.parametrize("compiled, k", [(0, 7), (0, 2000), (10 ** 9, 7)])
+def test_search_in_expressions_equals_brute_force(spark, sample, monkeypatch, compiled, k):
+    queries, items = sample
+    q, d = frames(spark, queries, items)
+    monkeypatch.setattr(sql_neighbours, "COMPILED", compiled)
+    before = spark.conf.get("spark.sql.codegen.maxFields")
+    clustered = ivf.cluster_items(d, clusters=12)
+    assert rows(sql_neighbours.knn_sql(q, clustered, k)) == sorted(brute(queries, items, k))
+    assert rows(sql_neighbours.knn_sql(q.where("false"), clustered, k)) == []
+    assert spark.conf.get("spark.sql.codegen.maxFields") == before
+
+
+def test_only_pairs_that_may_be_among_the_best_leave_the_join(spark):
+    rng = np.random.default_rng(6)
+    items = rng.normal(size=(4_000, 64))
+    unit = items / np.linalg.norm(items, axis=1, keepdims=True)
+    q = spark.createDataFrame([(i, unit[i].tolist()) for i in range(20)], "query_id long, unit array<double>")
+    d = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(unit)], "cd_insumo long, own array<double>, cluster int")
+    near = q.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cluster"))
+    wide = sql_neighbours._wide_session(spark, 64)
+    assert int(wide.conf.get("spark.sql.codegen.maxFields")) >= 2 * 64 + 2
+    floors = {r.query_id: r.floor for r in sql_neighbours._floors(q, near, d, 2, 10, 64).collect()}
+    tenth = -np.sort(-(unit[:20] @ unit.T), axis=1)[:, 9]
+    assert all(tenth[i] - 0.1 < floors[i] <= tenth[i] + 1e-9 for i in range(20))
+    floored = near.join(spark.createDataFrame(list(floors.items()), "query_id long, floor double"), "query_id")
+    pairs = sql_neighbours._best(q, floored, d, 2, 64)
+    assert 10 * 20 <= pairs.count() < 0.02 * 20 * 4_000  # all 80,000 pairs went on to the sort before
