@@ -99,10 +99,12 @@ def _floors(queries: DataFrame, near: DataFrame, items: DataFrame, clusters: int
 
 
 def _wide_session(spark: SparkSession, dim: int) -> SparkSession:
-    """A session of the same application in which joins of many columns are compiled."""
+    """A session of the same application and settings in which joins of many columns are compiled."""
     wide = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            wide.conf.set(key, value)
     wide.conf.set("spark.sql.codegen.maxFields", str(100 + 2 * dim))
-    wide.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return wide
 
 

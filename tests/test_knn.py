@@ -185,6 +185,7 @@ def test_only_pairs_that_may_be_among_the_best_leave_the_join(spark):
     d = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(unit)], "cd_insumo long, own array<double>, cluster int")
     near = q.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cluster"))
     wide = sql_neighbours._wide_session(spark, 64)
+    assert wide.conf.get("spark.sql.session.timeZone") == "UTC" and wide.conf.get("spark.sql.shuffle.partitions") == "8"
     assert int(wide.conf.get("spark.sql.codegen.maxFields")) >= 2 * 64 + 2
     floors = {r.query_id: r.floor for r in sql_neighbours._floors(q, near, d, 2, 10, 64).collect()}
     tenth = -np.sort(-(unit[:20] @ unit.T), axis=1)[:, 9]
