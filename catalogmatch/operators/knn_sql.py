@@ -131,9 +131,8 @@ def knn_sql(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
     near = every.withColumn("first", F.coalesce(F.sum("n").over(nearest), F.lit(0)) < k)
     cells_path = shared_dir(spark, "sql-cells")
     near.select("query_id", "cluster", "first", (F.col("distance") - F.col("radius") - 1e-6).alias("bound")).write.parquet(cells_path)
-    wide, columns = _wide_session(spark, dim), None
-    if dim <= WIDE and wanted.count() * int(items.sizes.sum()) >= COMPILED:
-        columns = dim
+    columns = dim if dim <= WIDE and wanted.count() * int(items.sizes.sum()) >= COMPILED else None
+    wide = _wide_session(spark, dim) if columns else spark
     wanted = wide.read.schema("query_id bigint, unit array<double>").parquet(path)
     near = wide.read.schema("query_id bigint, cluster int, first boolean, bound double").parquet(cells_path)
     # an item's vector is scaled once, before it meets its queries
@@ -144,8 +143,10 @@ def knn_sql(queries: DataFrame, items: ClusteredItems, k: int) -> DataFrame:
     reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("floor") + 4 * 10.0 ** -knn.DIGITS))
     open_ = near.join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") <= reach)).select(
         "query_id", "cluster", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-    path = shared_dir(spark, "sql-best")
-    _ranked(_best(wanted, open_, stored, count, columns), k).write.parquet(path)
-    best = spark.read.schema("query_id bigint, cd_insumo bigint, similarity double, knn_rank int").parquet(path)
+    best = _ranked(_best(wanted, open_, stored, count, columns), k)
+    if columns:  # made where its join is compiled; the caller's session reads what is left
+        path = shared_dir(spark, "sql-best")
+        best.write.parquet(path)
+        best = spark.read.schema("query_id bigint, cd_insumo bigint, similarity double, knn_rank int").parquet(path)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("score_sbert")
     return best.select("query_id", "cd_insumo", score, "knn_rank")
